@@ -67,6 +67,24 @@ def _release_at_exit() -> None:
             pass
 
 
+# ------------------------------------------------------------------ bounded caches
+class Cache(dict):
+    """What ``make`` gives for a key, kept for about the ``size`` keys used last (two generations)."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.half, self.old = make, size // 2, {}
+
+    def __missing__(self, key):
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 # ------------------------------------------------------------------ tables
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Arrow batches stay small because texts may be very long."""

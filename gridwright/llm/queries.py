@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
+
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import chat
-from gridwright.llm.common import table
+from gridwright.llm import binary_ids, chat, token_count
+from gridwright.llm.common import shared_dir, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def parts_of(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    got = token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
+    return got.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
+
+
+def op7_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    path = f"{shared_dir(spark)}/gridwright-files-{uuid.uuid4().hex}"
+    tokenizer = tokenizer_path("byte_bpe_50k.json")
+    staged = binary_ids.encode(docs, tokenizer, end_id=2, parts=parts_of(spark))
+    binary_ids.write(staged, path, binary_ids.kind_of(tokenizer))
+    return binary_ids.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +43,11 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(chat.format_chats(rows.unionByName(extra)))
 
 
-QUERIES = {"op8_chat_formatting": op8_chat_formatting}
+QUERIES = {
+    "op5_token_counts": op5_token_counts,
+    "op7_binary_ids": op7_binary_ids,
+    "op8_chat_formatting": op8_chat_formatting,
+}
 
 ORACLE_SQL = {
     "op8_chat_formatting": """
