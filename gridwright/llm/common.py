@@ -33,14 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     A lost executor costs its running tasks only, not what earlier stages made.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridwright-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -97,7 +97,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def slices(texts: list[str], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+    """The batch's texts as UTF-8; null counts as the empty text."""
+    return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
+
+
+def slices(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters; a longer text is a range of its own."""
     start = size = 0
     for i, x in enumerate(texts):

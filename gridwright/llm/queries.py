@@ -7,7 +7,7 @@ import uuid
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwright.llm import binary_ids, chat, token_count
+from gridwright.llm import binary_ids, bpe, chat, decontam, langid, near_duplicates, omh, passages, token_count, toxicity
 from gridwright.llm.common import shared_dir, table
 
 
@@ -19,6 +19,50 @@ def parts_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = near_duplicates.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return got.select("doc_id", "class_id", "n_links")
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the documents whose labels may be learned from."""
+    learn = labels.where("crc32(CAST(doc_id AS STRING)) % 3 <> 1").select("doc_id", "toxic").distinct()
+    return docs.select("doc_id", "text").join(learn, "doc_id")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels")))
+    got = toxicity.score(docs, model)
+    return got.selectExpr("doc_id", "crc32(CAST(doc_id AS STRING)) % 3 = 1 AS held_out", "score", "predicted")
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return bpe.encode(docs, tokenizer_path("word_bpe_49k.json"), parts_of(spark), texts=False)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return decontam.digest(decontam.judge(decontam.find_hits(docs, table(spark, sf_dir, "benchmark"))))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.compare_edited(documents(spark, sf_dir).select("doc_id", "text"), parts_of(spark))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    learn = docs.where("lang IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 4 <> 2").select("text", "lang")
+    model = langid.fit(learn, tokenizer_path("piece_bpe_32k.model"))
+    got = langid.predict(docs.select("doc_id", "text"), model)
+    return got.selectExpr("doc_id", "crc32(CAST(doc_id AS STRING)) % 4 = 2 AS held_out", "lang_pred", "score")
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     got = token_count.count_tokens(docs, tokenizer_path("piece_bpe_32k.model"))
@@ -44,9 +88,19 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op5_token_counts": op5_token_counts,
-    "op7_binary_ids": op7_binary_ids,
-    "op8_chat_formatting": op8_chat_formatting,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_toxicity,
+        op3_bpe_round_trip,
+        op4_decontamination,
+        op5_token_counts,
+        op6_order_minhash,
+        op7_binary_ids,
+        op8_chat_formatting,
+        op9_language_id,
+        op10_repeated_passages,
+    )
 }
 
 ORACLE_SQL = {

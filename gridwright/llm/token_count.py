@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -78,7 +79,7 @@ class Lengths(dict):
 _WORKER: dict[tuple, Lengths] = {}
 
 
-def _lengths(path: str, table, key: int) -> Lengths:
+def _lengths(path: str, table, key: str) -> Lengths:
     if (path, key) not in _WORKER:
         _WORKER.clear()
         _WORKER[path, key] = Lengths(load(path), pickle.loads(table.value))
@@ -116,7 +117,7 @@ def count_tokens(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, ta
         lengths = Lengths(sp, {})
         table = {k: lengths[k] for k, _ in _frequent(docs, sample_rows, table_size).most_common(table_size)}
     shared = spark.sparkContext.broadcast(pickle.dumps(table))
-    key = hash((id(shared), len(table)))
+    key = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(model, shared, key)
