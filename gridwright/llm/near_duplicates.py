@@ -21,7 +21,8 @@ number of *different* near-identical texts in one class, since links are counted
 dealt out by pairs of blocks.
 
 Null texts and texts without words have no shingles, so no links; equal rows are
-documents of their own and link to each other.  class_id is the smallest doc_id of the class.
+documents of their own and link to each other.  class_id is the smallest doc_id of the class
+(null only where all of them are).
 """
 
 from __future__ import annotations
@@ -313,12 +314,14 @@ def _verified(docs: DataFrame, members: DataFrame, block: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, tk, class_id, n_links) of every row of ``docs``; tk: xxhash64 of the text."""
+    """(doc_id, tk, class_id, n_links, kept) of every row of ``docs``; tk: xxhash64 of the text.
+
+    ``kept`` marks the rows of one document of each class: the smallest (doc_id, tk), a null doc_id last.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
     rows = materialize(_sketches(docs), "sketches")
-    nodes = rows.where("words > 0").groupBy("node").agg(
-        F.count("*").alias("many"), F.min(F.struct("doc_id", "tk")).alias("rep"), F.min("doc_id").alias("least"), F.first("sig").alias("sig")
-    )
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")
+    nodes = rows.where("words > 0").groupBy("node").agg(F.count("*").alias("many"), F.min(rank).alias("rep"), F.first("sig").alias("sig"))
     nodes = materialize(nodes, "nodes")
     candidates = components(_candidate_edges(nodes, block))
     members = _blocked(candidates.join(nodes.select("node", "many", "rep"), "node"), "root", block)
@@ -326,10 +329,26 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     checked = materialize(_verified(docs, members, block), "verified")
     root = components(checked.where("b IS NOT NULL").select("a", "b"))
     links = checked.where("n IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
-    full = nodes.select("node", "many", "least").join(root, "node", "left").join(links, "node", "left")
+    full = nodes.select("node", "many", "rep").join(root, "node", "left").join(links, "node", "left")
     full = full.withColumn("root", F.coalesce("root", "node"))
-    least = full.groupBy("root").agg(F.min("least").alias("class_id"))
-    full = full.join(least, "root").select("node", "class_id", (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = rows.where("words > 0").select("doc_id", "tk", "node").join(full, "node").select("doc_id", "tk", "class_id", "n_links")
-    alone = rows.where("words = 0").select("doc_id", "tk", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    first = full.groupBy("root").agg(F.min("rep").alias("first"))
+    full = full.join(first, "root").select("node", "first", (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tk") == F.col("first.tk"))
+    out = rows.where("words > 0").join(full, "node").select("doc_id", "tk", F.col("first.doc_id").alias("class_id"), "n_links", kept.alias("kept"))
+    alone = rows.where("words = 0").select("doc_id", "tk", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
+
+
+def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one document of each class; of rows equal in doc_id and text one stays, too."""
+    found = near_duplicates(docs.select("doc_id", "text"), block).where("kept")
+    keys = found.groupBy("doc_id", "tk").agg(F.count("*").alias("rows"))
+    keys = materialize(keys.withColumnsRenamed({"doc_id": "kd", "tk": "kt"}), "kept")
+    own = docs.columns
+    out = docs.join(keys, [docs["doc_id"].cast("long").eqNullSafe(keys["kd"]), F.xxhash64(docs["text"]) == keys["kt"]])
+    out = out.select(*[docs[f"`{c}`"] for c in own], keys["rows"].alias("__rows"))
+    if keys.where("rows > 1").limit(1).count():
+        once = out.where("__rows = 1").select(*own)
+        again = out.where("__rows > 1").select(*own)
+        return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return out.select(*own)
