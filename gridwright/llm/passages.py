@@ -395,7 +395,7 @@ def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, group: int = GROUP) -> DataFrame:
-    """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` its text is what is left.
+    """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` its text is what is left (null stays null).
 
     What is left is cut at bytes; characters that a cut goes through are dropped from the text.
     """
@@ -410,7 +410,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = {k: [] for k in (*names, "text")}
-            for text, found in zip(bytes_of(b), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
+            whole = b.column(b.schema.get_field_index("text"))
+            for text, none, found in zip(bytes_of(b), whole.is_null().to_pylist(), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
                 runs = union_spans(found)
                 at, kept = 0, []
                 for lo, hi in runs:
@@ -422,7 +423,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = Fals
                 made["n_spans"].append(len(runs))
                 made["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 if keep_text:
-                    made["text"].append(left.decode("utf-8", "ignore"))
+                    made["text"].append(None if none else left.decode("utf-8", "ignore"))
             columns = [pa.array(made["text"], pa.string()) if f.name == "text" else b.column(b.schema.get_field_index(f.name)) for f in out]
             columns += [pa.array(made[k], pa.string() if k == "kept_sha256" else pa.int64()) for k in names]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in out), *names])
