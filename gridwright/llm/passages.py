@@ -6,8 +6,9 @@ Sorting the suffixes of all positions is not needed.  Of each LENGTH-byte string
 occurrences always meet at a pair of anchors with equal K bytes.  About one
 position in 185 is an anchor.
 
-1. Anchors of every text: hash of the K bytes, and hash of the whole context (the
-   bytes of all LENGTH-byte strings around it that could have it as anchor).
+1. Anchors of every text: hash of the K bytes, and hash of the context (the bytes
+   of all LENGTH-byte strings that have this very position as their anchor; they start side by side).
+   Each string belongs to one anchor.
 2. Anchors whose K bytes occur once are dropped.  Where all contexts are equal
    every string around them repeats.  Only contexts that differ are compared.
 3. The contexts of a group are put in suffix-array order by deep-shallow sorting:
@@ -17,7 +18,7 @@ position in 185 is an anchor.
    repeats if another member shares its run of LCP >= LENGTH - a on the right and
    >= a on the left.
 4. Groups of more than ``GROUP`` different contexts are not gathered: a hash of each string around
-   the anchor is counted over all tasks instead, with the same result.
+   the anchors is counted over all tasks instead, with the same result.
 
 Null text is empty.  Rows are told apart by doc_id and a hash of the text, so equal
 rows are occurrences of their own, each.
@@ -47,11 +48,11 @@ _VALUES = np.random.default_rng(4711).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 # ------------------------------------------------------------------ anchors
-def _segment_anchors(raw: bytes, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 64-bit hashes) of the anchors in ``raw``, texts at starts:ends."""
+def _segment_anchors(raw: bytes, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(position, 64-bit hash, fewest and most bytes before it) of the anchors in ``raw``, texts at starts:ends."""
     buf = np.frombuffer(raw, np.uint8)
     if len(buf) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     h, step = _VALUES[buf], 1
     while step < K:
         h = h[:-step] * _U(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
@@ -70,42 +71,40 @@ def _segment_anchors(raw: bytes, ends: np.ndarray, starts: np.ndarray, length: i
     ok = ends - starts >= length
     np.add.at(inside, starts[ok], 1)
     np.add.at(inside, ends[ok] - length + 1, -1)
-    best = best[np.cumsum(inside[:n]).astype(bool)]
-    # anchors of windows that follow one another never go back, and texts follow one another
-    best = best[np.flatnonzero(np.diff(best, prepend=-1))]
-    return best, h[best]
+    start = np.flatnonzero(np.cumsum(inside[:n]))
+    best = best[start]
+    # the strings with one anchor start side by side, and anchors never go back
+    first = np.flatnonzero(np.diff(best, prepend=-1))
+    last = np.append(first[1:], len(best)) - 1
+    pos = best[first]
+    return pos, h[pos], pos - start[last], pos - start[first]
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position, hash, context hash, bytes of context before, after) of every anchor."""
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(text, position, hash, context hash, fewest, most bytes of a string before the anchor) of every anchor."""
     rows = []
-    reach = length - K
+    digest = xxhash.xxh3_64_intdigest
     for lo, hi in slices(texts, SEGMENT):
         part = texts[lo:hi]
         if hi - lo == 1 and len(part[0]) > 2 * SEGMENT:
-            whole, found, last = part[0], [], -1
-            for at in range(0, len(whole), SEGMENT):
-                piece = whole[at : at + SEGMENT + length - 1]
-                pos, h = _segment_anchors(piece, np.array([len(piece)]), np.array([0]), length)
-                new = pos + at > last
-                found.append((pos[new] + at, h[new]))
-                last = int(pos[-1]) + at if len(pos) else last
-            pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
-            raw, starts, ends = whole, np.array([0]), np.array([len(whole)])
+            # strings that start in different segments may share an anchor: it is listed for each
+            raw, starts, ends, found = part[0], np.array([0]), np.array([len(part[0])]), []
+            for at in range(0, len(raw), SEGMENT):
+                piece = raw[at : at + SEGMENT + length - 1]
+                pos, *more = _segment_anchors(piece, np.array([len(piece)]), np.array([0]), length)
+                found.append((pos + at, *more))
+            pos, h, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
             raw = b"".join(part)
             ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
             starts = ends - np.fromiter(map(len, part), np.int64, len(part))
-            pos, h = _segment_anchors(raw, ends, starts, length)
+            pos, h, low, high = _segment_anchors(raw, ends, starts, length)
         if not len(pos):
             continue
         who = np.searchsorted(ends, pos, "right")
-        left, right = np.minimum(pos - starts[who], reach), np.minimum(ends[who] - pos, length)
-        digest = xxhash.xxh3_64_intdigest
-        c = np.fromiter(
-            (digest(raw[p - a : p + b], a) for p, a, b in zip(pos.tolist(), left.tolist(), right.tolist(), strict=True)), np.uint64, len(pos)
-        )
-        rows.append((who + lo, pos - starts[who], h, c, left, right))
+        around = zip((pos - high).tolist(), (pos - low + length).tolist(), high.tolist(), strict=True)
+        c = np.fromiter((digest(raw[x:y], a) for x, y, a in around), np.uint64, len(pos))
+        rows.append((who + lo, pos - starts[who], h, c, low, high))
     if not rows:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
@@ -224,14 +223,14 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarr
 def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest ``a`` (bytes before the anchor) of a string that another member has, too; -1: none.
 
-    ``lefts`` are read backwards from the anchor.
+    ``lefts`` are read backwards from the anchor.  Both end where the member's strings end.
     """
-    n, reach = len(lefts), length - K
+    n = len(lefts)
     low, high = np.full(n, -1), np.full(n, -1)
     if n == 2:
-        a, r = min(reach, common(*lefts)), common(*rights)
+        a, r = common(*lefts), common(*rights)
         if a + r >= length:
-            low[:], high[:] = max(0, length - r), a
+            low[:], high[:] = length - r, a
         return low, high
     orders = [deep_shallow(x) for x in (rights, lefts)]
     (by_right, right), (by_left, left) = orders
@@ -242,13 +241,13 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tu
             for i in range(n - 1):
                 m[order[i], order[i + 1 :]] = m[order[i + 1 :], order[i]] = np.minimum.accumulate(lcp[i + 1 :])
             share.append(m)
-        r, a = share[0], np.minimum(share[1], reach)
+        r, a = share
         ok = (a + r >= length) & ~np.eye(n, dtype=bool)
-        any_ok = ok.any(1)
-        low[any_ok] = np.where(ok, np.maximum(0, length - r), length).min(1)[any_ok]
-        high[any_ok] = np.where(ok, a, -1).max(1)[any_ok]
+        some = ok.any(1)
+        low[some] = np.where(ok, length - r, length).min(1)[some]
+        high[some] = np.where(ok, a, -1).max(1)[some]
         return low, high
-    for a in range(reach + 1):
+    for a in range(length - max(map(len, rights)), max(map(len, lefts)) + 1):
         group = np.empty(n, np.int64)
         group[by_right] = np.cumsum(right < length - a)
         own = np.empty(n, np.int64)
@@ -264,7 +263,7 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tu
 
 
 # ------------------------------------------------------------------ in Spark
-_ANCHOR = "doc_id long, tk long, pos long, h long, c long, lft int, rgt int"
+_ANCHOR = "doc_id long, tk long, h long, c long, low int, high int, pos array<bigint>"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -272,36 +271,43 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+    """Anchors of every text; those of a text that agree in hash and context are one row, with all positions."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, pos, h, c, left, right = anchors(bytes_of(b), length)
-            if len(who):
-                at = pa.array(who)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(pos), _signed(h), _signed(c), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32))],
-                    names=["doc_id", "tk", "pos", "h", "c", "lft", "rgt"],
-                )
+            who, pos, h, c, low, high = anchors(bytes_of(b), length)
+            if not len(who):
+                continue
+            order = np.lexsort((pos, c, h, who))
+            who, pos, h, c, low, high = (x[order] for x in (who, pos, h, c, low, high))
+            fresh = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+            at = pa.array(who[fresh])
+            places = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(pos)).astype(np.int32)), pa.array(pos))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), _signed(h[fresh]), _signed(c[fresh]), pa.array(low[fresh].astype(np.int32)), pa.array(high[fresh].astype(np.int32)), places],
+                names=["doc_id", "tk", "h", "c", "low", "high", "pos"],
+            )
 
     return docs.select("doc_id", "tk", "text").mapInArrow(run, _ANCHOR)
 
 
-def _contexts(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(h, c, n, classes, lft, context): the bytes around each representative."""
-    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("classes", pa.int64()), ("lft", pa.int32()), ("context", pa.binary())])
+def _contexts(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
+    """(h, c, n, large, high, context): the bytes of all strings around each representative."""
+    schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("large", pa.bool_()), ("high", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, at in zip(bytes_of(b), b.column(b.schema.get_field_index("at")).to_pylist(), strict=True):
                 for x in at:
-                    p, a = x["pos"], x["lft"]
-                    out.append((x["h"], x["c"], x["n"], x["classes"], a, text[p - a : p + x["rgt"]]))
+                    p = x["p"]
+                    out.append((x["h"], x["c"], x["n"], x["large"], x["high"], text[p - x["high"] : p - x["low"] + length]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    by_doc = reps.groupBy("rep.doc_id", "rep.tk").agg(F.collect_list(F.struct(F.col("rep.pos").alias("pos"), "h", "c", "n", "classes", "lft", "rgt")).alias("at"))
+    by_doc = reps.groupBy("rep.doc_id", "rep.tk").agg(F.collect_list(F.struct(F.col("rep.p").alias("p"), "h", "c", "n", "large", "low", "high")).alias("at"))
     on = [docs["doc_id"].eqNullSafe(by_doc["doc_id"]), docs["tk"] == by_doc["tk"]]
-    return docs.join(by_doc, on).select(by_doc["at"], docs["text"]).mapInArrow(run, "h long, c long, n long, classes long, lft int, context binary")
+    return docs.join(by_doc, on).select(by_doc["at"], docs["text"]).mapInArrow(run, "h long, c long, n long, large boolean, high int, context binary")
 
 
 _RESULT = "h long, c long, low int, high int"
@@ -314,7 +320,7 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
         rows = list(group.values())
         if len(rows) < 2 or all(x[2] > 1 for x in rows):
             return []
-        lefts, rights = [x[4][: x[3]][::-1] for x in rows], [x[4][x[3] :] for x in rows]
+        lefts, rights = [x[4][: x[3]][::-1] for x in rows], [x[4][x[3] :] for x in rows]  # x[3]: bytes before the anchor
         low, high = repeats(lefts, rights, length)
         return [(x[0], x[1], int(a), int(b)) for x, a, b in zip(rows, low, high, strict=True) if a >= 0 and x[2] == 1]
 
@@ -337,50 +343,66 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
         if out:
             yield made(out)
 
-    return contexts.select("h", "c", "n", "lft", "context").repartition("h").sortWithinPartitions("h").mapInArrow(run, _RESULT)
+    return contexts.select("h", "c", "n", "high", "context").repartition("h").sortWithinPartitions("h").mapInArrow(run, _RESULT)
 
 
 def _count_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """As ``_compare``, for groups of any size: counts a 128-bit hash of every string around the anchors."""
-    types = [("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("a", pa.int32()), ("s", pa.binary())]
+    """As ``_compare``, for groups of any size: counts a 128-bit hash of every string around the anchors.
+
+    A string has one anchor, so there is a row for each string and none for a pair.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                h, c, n, left, context = (b.column(k)[i].as_py() for k in range(5))
-                a = range(max(0, length - (len(context) - left)), left + 1)
-                s = [xxhash.xxh3_128_digest(context[left - x : left - x + length]) for x in a]
-                yield pa.RecordBatch.from_arrays([pa.array([v] * len(a), t) for v, (_, t) in zip((h, c, n), types, strict=False)] + [pa.array(a, pa.int32()), pa.array(s, pa.binary())], names=[k for k, _ in types])
-
-    rows = contexts.dropDuplicates(["h", "c"]).select("h", "c", "n", "lft", "context").mapInArrow(run, "h long, c long, n long, a int, s binary")
-    more = rows.groupBy("h", "a", "s").agg(F.count("*").alias("k")).where("k > 1")
-    hit = rows.where("n = 1").join(more, ["h", "a", "s"], "left_semi")
+            h, c, n, a, s = [], [], [], [], []
+            for i, j, k, high, context in zip(*(b.column(x).to_pylist() for x in range(5)), strict=True):
+                many = len(context) - length + 1
+                h += [i] * many
+                c += [j] * many
+                n += [k] * many
+                a += range(high, high - many, -1)
+                s += [xxhash.xxh3_128_digest(context[x : x + length]) for x in range(many)]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int32()), pa.array(s, pa.binary())], names=["h", "c", "n", "a", "s"])
+
+    own = contexts.dropDuplicates(["h", "c"]).select("h", "c", "n", "high", "context")
+    rows = materialize(own.mapInArrow(run, "h long, c long, n long, a int, s binary"), "strings")
+    often = materialize(rows.groupBy("s").agg(F.sum("n").alias("k")).where("k > 1").select("s"), "often")
+    hit = rows.where("n = 1").join(often, "s")
     return hit.groupBy("h", "c").agg(F.min("a").cast("int").alias("low"), F.max("a").cast("int").alias("high"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, tk, spans): unions of the repeated strings, as byte ranges; texts without any are left out."""
+    """(doc_id, tk, spans): the repeated strings, as byte ranges; texts without any are left out.
+
+    What is joined back is stored first, so that both sides of each join are plain
+    shuffles, whose hot partitions Spark can split.
+    """
     found = materialize(_anchor_rows(docs, length), "anchors")
-    by_h = found.groupBy("h").agg(F.count("*").alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1")
-    kept = materialize(found.join(by_h.select("h", "differ"), "h"), "shared")
-    # all contexts equal: every string around the anchor repeats, from rgt bytes after it to lft before
-    whole_low = F.greatest(F.lit(0), F.lit(length) - F.col("rgt"))
-    alike = kept.where("NOT differ").select("doc_id", "tk", "pos", whole_low.alias("low"), F.col("lft").alias("high"))
-    classes = kept.where("differ").groupBy("h", "c").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "pos")).alias("rep"), F.first("lft").alias("lft"), F.first("rgt").alias("rgt")
+    by_h = found.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1")
+    kept = materialize(found.join(materialize(by_h.select("h", "differ"), "hashes"), "h"), "shared")
+    differ = kept.where("differ")
+    classes = materialize(
+        differ.groupBy("h", "c").agg(
+            F.sum(F.size("pos")).alias("n"),
+            F.min(F.struct("doc_id", "tk", F.col("pos")[0].alias("p"))).alias("rep"),
+            F.first("low").alias("low"),
+            F.first("high").alias("high"),
+        ),
+        "classes",
     )
-    sizes = classes.groupBy("h").agg(F.count("*").alias("classes"))
-    classes = materialize(classes.join(sizes, "h"), "classes")
-    contexts = materialize(_contexts(docs, classes), "contexts")
-    judged = _compare(contexts.where(F.col("classes") <= group), length)
-    if classes.where(F.col("classes") > group).limit(1).count():
-        judged = judged.unionByName(_count_strings(contexts.where(F.col("classes") > group), length))
-    often = classes.where("n > 1").select("h", "c", whole_low.cast("int").alias("low"), F.col("lft").alias("high"))
-    judged = judged.unionByName(often)
-    other = kept.where("differ").join(judged, ["h", "c"]).select("doc_id", "tk", "pos", "low", "high")
-    span = F.struct((F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + length).alias("end"))
-    every = alike.unionByName(other).select("doc_id", "tk", span.alias("span"))
-    return every.groupBy("doc_id", "tk").agg(F.array_sort(F.collect_set("span")).alias("spans"))
+    large = materialize(classes.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > group).select("h", F.lit(True).alias("large")), "large")
+    reps = classes.join(large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    contexts = materialize(_contexts(docs, reps, length), "contexts")
+    judged = _compare(contexts.where("NOT large"), length)
+    if large.limit(1).count():
+        judged = judged.unionByName(_count_strings(contexts.where("large"), length))
+    judged = materialize(judged.unionByName(classes.where("n > 1").select("h", "c", "low", "high")), "judged")
+    # all contexts equal: every string around the anchor repeats
+    alike = kept.where("NOT differ").select("doc_id", "tk", "pos", "low", "high")
+    other = differ.drop("low", "high").join(judged, ["h", "c"]).select("doc_id", "tk", "pos", "low", "high")
+    spans = F.transform("pos", lambda p: F.struct((p - F.col("high")).alias("start"), (p - F.col("low") + length).alias("end")))
+    every = alike.unionByName(other).select("doc_id", "tk", spans.alias("spans"))
+    return every.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
