@@ -8,12 +8,13 @@ words count in a text of any length, and a misspelt word shares most of its
 n-grams with the word meant.
 
 Training knows a label for a whole text only: in each round every training text
-stands for its worst window so far (at first, for all of its words).  At most
+stands for its worst window so far (at first, for all of its words).  Words count once in a window, so
+that mere repetition is no sign.  At most
 ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents are learned from, those with the
 smallest hashes of doc_id.  Scoring is linear in the buckets, so each distinct word's
 share of the logit is kept in a bounded table.
 
-Texts without words score as the model's bias; without labelled rows of both kinds every score is 0.
+Texts without words (null, too) are judged by what stands in every window; without labelled rows of both kinds every score is 0.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ MAX_CLEAN = 3_000
 MAX_TRAIN_WORDS = 4_000_000  # of the training documents together, in the order of their hashes
 BUCKETS = 1 << 16
 DIM = 8
-WINDOW = 24
-STRIDE = 8
+WINDOW = 8
+STRIDE = 4
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
+#: Stands in every window, so that a few words alone don't decide; no text holds it as a word.
+PAD = "\0" * 12
 _WORD = re.compile(r"\w+")
 _U = np.uint64
 
@@ -87,13 +90,28 @@ class Model:
         bucket, n = features(words)
         return np.add.reduceat(self.share[bucket], np.cumsum(n) - n), n
 
-    def windows(self, shares: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Logit of each window of a text's words."""
-        if not len(shares):
-            return np.array([self.bias])
-        s, n = np.concatenate([[0.0], np.cumsum(shares)]), np.concatenate([[0], np.cumsum(sizes)])
-        lo, hi = window_edges(len(shares))
-        return (s[hi] - s[lo]) / (n[hi] - n[lo]) + self.bias
+    def worst(self, words: np.ndarray, shares: np.ndarray, sizes: np.ndarray) -> float:
+        """Logit of the worst window of a text; ``words`` are numbers of words, shares and sizes by number."""
+        return float(window_means(words, shares, sizes)[2].max()) + self.bias
+
+
+def once(words: np.ndarray) -> np.ndarray:
+    """Which words aren't repeats of one among the WINDOW - 1 before them."""
+    order = np.argsort(words, kind="stable")
+    near = np.zeros(len(words), bool)
+    near[1:] = (words[order[1:]] == words[order[:-1]]) & (order[1:] - order[:-1] < WINDOW)
+    out = np.empty(len(words), bool)
+    out[order] = ~near
+    return out
+
+
+def window_means(words: np.ndarray, shares: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end, mean share of a feature) of each window; a word counts once in a window.  Word 0 is PAD."""
+    fresh = once(words)
+    s = np.concatenate([[0.0], np.cumsum(np.where(fresh, shares[words], 0.0))])
+    n = np.concatenate([[0], np.cumsum(np.where(fresh, sizes[words], 0))])
+    lo, hi = window_edges(len(words))
+    return lo, hi, (s[hi] - s[lo] + shares[0]) / (n[hi] - n[lo] + sizes[0])
 
 
 def window_edges(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +127,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, epochs: int = 6
     weights = np.zeros((2, DIM))
     weights[1], weights[0] = rng.normal(0, 0.5, DIM), 0
     bias = 0.0
-    index: dict[str, int] = {}
+    index: dict[str, int] = {PAD: 0}
     docs = [np.array([index.setdefault(w, len(index)) for w in words_of(x)], np.int64) for x in texts]
     docs, labels = [d for d in docs if len(d)], labels[[len(d) > 0 for d in docs]].astype(float)
     if not len(docs) or labels.min() == labels.max():
@@ -125,12 +143,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, epochs: int = 6
             shares = np.add.reduceat(share[bucket], first)
         for d in docs:
             if turn == 0:
-                chosen.append(d[:400] if len(d) > 400 else d)
+                chosen.append(np.unique(np.append(d, 0)))
                 continue
-            s, m = np.concatenate([[0.0], np.cumsum(shares[d])]), np.concatenate([[0], np.cumsum(n[d])])
-            lo, hi = window_edges(len(d))
-            best = int(((s[hi] - s[lo]) / (m[hi] - m[lo])).argmax())
-            chosen.append(d[lo[best] : hi[best]])
+            lo, hi, mean = window_means(d, shares, n)
+            best = int(mean.argmax())
+            chosen.append(np.unique(np.append(d[lo[best] : hi[best]], 0)))
         for _ in range(epochs):
             order = rng.permutation(len(chosen))
             for lo in range(0, len(order), 64):
@@ -167,8 +184,9 @@ class Scorer:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[str, int] = {PAD: 0}
         self.shares, self.sizes = np.zeros(1 << 12), np.zeros(1 << 12, np.int64)
+        self.shares[:1], self.sizes[:1] = self.model.of_words([PAD])
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         if len(self.index) > self.size:
@@ -186,7 +204,7 @@ class Scorer:
         out = np.empty(len(texts))
         for i, ws in enumerate(words):
             at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-            out[i] = self.model.windows(self.shares[at], self.sizes[at]).max()
+            out[i] = self.model.worst(at, self.shares, self.sizes)
         return _sigmoid(out)
 
 
