@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import Cache, materialize, texts_of
+from gridwright.llm.common import Cache, materialize, texts_of, worker_state
 
 MAX_BITS = 18
 BLOCK_IDS = 65_536
@@ -109,13 +109,8 @@ class Encoder:
         return [self.one(x) for x in texts]
 
 
-_WORKER: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
-    if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
-    return _WORKER[path]
+    return worker_state(("ids", path), lambda: Encoder(path))
 
 
 def kind_of(tokenizer: str) -> str:

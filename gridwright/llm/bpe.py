@@ -8,7 +8,8 @@ are those of its words one after another.
    word first, and one row of words for each bucket of the words' hash.
 2. Buckets are dealt out.  All chunks' rows of a bucket meet in one task, which
    encodes each distinct word once, and answers every chunk with ids in the order asked.
-3. A chunk and its answers meet; ids take the places of word numbers.  Decoding
+3. A chunk and its answers meet (chunks are stored in buckets, so only the answers
+   are shuffled); ids take the places of word numbers.  Decoding
    replaces ids by the vocabulary's pieces (id to piece, bounded by the
    vocabulary) and joins them by spaces, as a tokenizer without a decoder does.
 
@@ -22,6 +23,7 @@ kept, a row each.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import uuid
 import zlib
@@ -33,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import materialize, texts_of
+from gridwright.llm.common import materialize_bucketed, texts_of, worker_state
 
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 8_000_000
 #: Python takes these for white space, the tokenizers library doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -47,6 +49,39 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
+class Splitter:
+    """Words of a text, alike ones made equal where the tokenizer makes no difference either.
+
+    If it lower-cases, A-Z become a-z first (unless that would make up one of its
+    special strings); if it ends words between a letter and a full stop or comma,
+    these become words of their own.
+    """
+
+    def __init__(self, tok):
+        same = lambda a, b: [x.ids for x in tok.encode_batch(a, add_special_tokens=False)] == [x.ids for x in tok.encode_batch(b, add_special_tokens=False)]
+        self.special = [t.content.lower() for t in tok.get_added_tokens_decoder().values()]
+        self.lower = same(["ABC xYz", "Z9'S"], ["abc xyz", "z9's"])
+        ends = [f"{w}{p}" for w in ("a", "word", "it's", "\u00e9t\u00e9", "\u65e5") for p in ".,"]
+        self.stops = same(ends, [f"{x[:-1]} {x[-1]}" for x in ends])
+
+    def __call__(self, text: str) -> list[str]:
+        if self.lower:
+            low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            if not any(s in low for s in self.special):
+                text = low
+        words = split_words(text)
+        if not self.stops:
+            return words
+        out = []
+        for w in words:
+            if w[-1] in ".," and len(w) > 1 and w[-2].isalpha():
+                out.append(w[:-1])
+                out.append(w[-1])
+            else:
+                out.append(w)
+        return out
+
+
 class Index(dict):
     """Numbers words in the order in which they come."""
 
@@ -55,21 +90,26 @@ class Index(dict):
         return n
 
 
-def _squeeze(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(x)
+def _squeeze(x: bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(x)
 
 
 def _expand(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(x)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of equal significance together, which compress better."""
-    return _squeeze(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def pack_numbers(x: np.ndarray) -> bytes:
+    """Numbers of up to 32 bits, compressed with bytes of equal significance together; up to 16 bits, as they are."""
+    if not len(x) or x.max() < 1 << 16:
+        return b"2" + _squeeze(x.astype("<u2").tobytes(), 9)
+    return b"4" + _squeeze(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _from_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(_expand(x), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+def unpack_numbers(raw: bytes) -> np.ndarray:
+    flat = _expand(raw[1:])
+    if raw[:1] == b"2":
+        return np.frombuffer(flat, "<u2").astype(np.uint32)
+    return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 PART = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("data", pa.binary()), ("more", pa.binary()), ("kind", pa.string())])
@@ -85,23 +125,24 @@ def _chunk_rows(doc_ids: list, lens: list[int], numbers: list[np.ndarray], index
     words = [names[i] for i in rank]
     bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), np.uint32, len(words))
     chunk = uuid.uuid4().hex
-    rows = [{"chunk": chunk, "bucket": -1, "doc_ids": doc_ids, "words": lens, "data": _planes(place[flat]), "more": _planes(bucket), "kind": "docs"}]
+    rows = [{"chunk": chunk, "bucket": -1, "doc_ids": doc_ids, "words": lens, "data": pack_numbers(place[flat]), "more": pack_numbers(bucket), "kind": "docs"}]
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
     for b, (lo, hi) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
         if hi > lo:
-            rows.append({"chunk": chunk, "bucket": b, "data": _squeeze("\n".join(words[i] for i in order[lo:hi]).encode()), "kind": "words"})
+            rows.append({"chunk": chunk, "bucket": b, "data": _squeeze("\n".join(words[i] for i in order[lo:hi]).encode(), 12), "kind": "words"})
     return pa.RecordBatch.from_pylist(rows, schema=PART)
 
 
-def split(docs: DataFrame, buckets: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def split(docs: DataFrame, tokenizer: str, buckets: int, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Stored rows of chunks: kind 'docs' (word numbers) and kind 'words' (distinct words of a bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = Splitter(_vocabulary(tokenizer)[0])
         doc_ids, lens, numbers, index, size = [], [], [], Index(), 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                words = split_words(text)
+                words = words_of(text)
                 numbers.append(np.fromiter(map(index.__getitem__, words), np.uint32, len(words)))
                 doc_ids.append(doc)
                 lens.append(len(words))
@@ -113,10 +154,17 @@ def split(docs: DataFrame, buckets: int, chunk_chars: int = CHUNK_CHARS) -> Data
             yield _chunk_rows(doc_ids, lens, numbers, index, buckets)
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PART_DDL)
-    return materialize(made, "words", by="kind")
+    return materialize_bucketed(made, "words", "kind", buckets, "chunk")
 
 
 def _vocabulary(path: str) -> tuple[object, list[str]]:
+    """The tokenizer and its pieces by id, read once in each Python worker."""
+    return worker_state(("bpe", path), lambda: _read(path))
+
+
+def _read(path: str) -> tuple[object, list[str]]:
+    # on the task's own thread: more threads than the task has cores only take memory
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -136,14 +184,14 @@ def encode_words(parts: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
             for row in b.to_pylist():
                 words = _expand(row["data"]).decode().split("\n")
                 new = [w for w in words if w not in known]
-                for lo in range(0, len(new), 10_000):
-                    part = new[lo : lo + 10_000]
+                for lo in range(0, len(new), 2_000):
+                    part = new[lo : lo + 2_000]
                     for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                         known[w] = np.array(e.ids, np.uint32).tobytes()
                 got = [known[w] for w in words]
                 n = np.fromiter((len(x) // 4 for x in got), np.uint32, len(got))
                 ids = np.frombuffer(b"".join(got), np.uint32)
-                answer = {"chunk": row["chunk"], "bucket": row["bucket"], "data": _planes(ids), "more": _planes(n), "kind": "ids"}
+                answer = {"chunk": row["chunk"], "bucket": row["bucket"], "data": pack_numbers(ids), "more": pack_numbers(n), "kind": "ids"}
                 yield pa.RecordBatch.from_pylist([answer], schema=PART)
 
     words = parts.where("kind = 'words'").select("chunk", "bucket", "data")
@@ -156,7 +204,7 @@ def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, ch
     ids_sha256 is that of the decimal ids joined by spaces, decoded_sha256 that of
     the decoded text in UTF-8.
     """
-    parts = split(docs, buckets, chunk_chars)
+    parts = split(docs, tokenizer, buckets, chunk_chars)
     answers = encode_words(parts, tokenizer, buckets)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if texts:
@@ -164,21 +212,24 @@ def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, ch
     schema = pa.schema(fields)
 
     def finish(head: dict, got: list[dict], pieces: list[str]) -> Iterator[pa.RecordBatch]:
-        bucket = _from_planes(head["more"])
+        bucket = unpack_numbers(head["more"])
         order = np.argsort(bucket, kind="stable")
-        got.sort(key=lambda x: x["bucket"])
-        n = np.concatenate([_from_planes(x["more"]) for x in got]) if got else np.zeros(0, np.uint32)
-        flat = np.concatenate([_from_planes(x["data"]) for x in got]).tolist() if got else []
-        if len(n) != len(order):
-            raise RuntimeError("a chunk's answers are not complete")
-        ids_of, text_of, many = [""] * len(n), [""] * len(n), np.zeros(len(n), np.int64)
-        many[order] = n
+        ids_of, text_of, many = [""] * len(order), [""] * len(order), np.zeros(len(order), np.int64)
         at = 0
-        for place, k in zip(order.tolist(), n.tolist(), strict=True):
-            own = flat[at : at + k]
-            ids_of[place], text_of[place] = " ".join(map(str, own)), " ".join([pieces[i] for i in own])
-            at += k
-        numbers = _from_planes(head["data"])
+        for x in sorted(got, key=lambda x: x["bucket"]):
+            n, flat = unpack_numbers(x["more"]), unpack_numbers(x["data"]).tolist()
+            places, lo = order[at : at + len(n)], 0
+            if (bucket[places] != x["bucket"]).any():
+                raise RuntimeError("a chunk's answers are not those asked for")
+            many[places] = n
+            at += len(n)
+            for place, k in zip(places.tolist(), n.tolist(), strict=True):
+                own = flat[lo : lo + k]
+                ids_of[place], text_of[place] = " ".join(map(str, own)), " ".join([pieces[i] for i in own])
+                lo += k
+        if at != len(order):
+            raise RuntimeError("a chunk's answers are not complete")
+        numbers = unpack_numbers(head["data"])
         lo, rows = 0, []
         for doc, size in zip(head["doc_ids"], head["words"], strict=True):
             mine = numbers[lo : lo + size]
@@ -197,22 +248,17 @@ def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, ch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pieces = _vocabulary(tokenizer)
-        head, got = None, []
         for b in batches:
-            for row in b.to_pylist():
-                if head is None or row["chunk"] != head["chunk"]:
-                    if head is not None:
-                        yield from finish(head, got, pieces)
-                    head, got = row, []
-                else:
-                    got.append(row)
-        if head is not None:
-            yield from finish(head, got, pieces)
-
-    columns = ["chunk", "bucket", "doc_ids", "words", "data", "more"]
-    both = parts.where("kind = 'docs'").select(*columns).unionByName(answers.select(*columns))
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                yield from finish(row, row["got"] or [], pieces)
+
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data", "more")).alias("got"))
+    # the chunks lie in buckets already, so only the answers move
+    chunks = parts.where("kind = 'docs'").select("chunk", "doc_ids", "words", "data", "more")
+    both = chunks.join(by_chunk, "chunk", "left").select("doc_ids", "words", "data", "more", "got")
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
-    return both.repartition(buckets, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, ddl)
+    return both.mapInArrow(run, ddl)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

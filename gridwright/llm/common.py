@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # ------------------------------------------------------------------ scratch tables
 _WRITTEN: list[str] = []
+_TABLES: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +48,24 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, by: str, buckets: int, key: str) -> DataFrame:
+    """As ``materialize``, dealt into buckets of ``key`` within folders of ``by``: joins on ``key`` need no shuffle of it."""
+    spark = df.sparkSession
+    table_name = f"gridwright_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table_name}"
+    df.write.partitionBy(by).bucketBy(buckets, key).option("path", path).saveAsTable(table_name)
+    _WRITTEN.append(path)
+    _TABLES.append(table_name)
+    return spark.table(table_name)
+
+
 def release(spark: SparkSession) -> int:
     """Delete every scratch table written so far; returns how many. Call when results are stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
+    while _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
@@ -85,6 +101,22 @@ class Cache(dict):
         return value
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What ``make`` gives, kept in this Python worker until another operator (another key) needs the room."""
+    if key not in _STATE:
+        if _STATE:
+            _STATE.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # hand freed memory back: workers outlive operators
+                trim(0)
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 # ------------------------------------------------------------------ tables
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. Arrow batches stay small because texts may be very long."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import mix64, slices, texts_of
+from gridwright.llm.common import mix64, slices, texts_of, worker_state
 
 MAX_DOCS = 800  # labelled documents to learn from, about, for each language
 MAX_WORDS = 15_000  # most frequent distinct words of the sample, for each language
@@ -237,19 +237,13 @@ def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = MAX_DOCS, max
     return Model(langs, pieces, prob)
 
 
-_WORKER: dict[str, Scorer] = {}
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score; text is the only column that counts."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.langs, model.pieces, model.prob)))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Scorer(Model(*pickle.loads(shared.value)))
-        score = _WORKER[key]
+        score = worker_state(key, lambda: Scorer(Model(*pickle.loads(shared.value))))
         for whole in batches:
             texts = texts_of(whole)
             at = whole.schema.get_field_index("text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import texts_of
+from gridwright.llm.common import texts_of, worker_state
 
 SAMPLE_ROWS = 2_000
 TABLE_SIZE = 50_000
@@ -76,16 +76,6 @@ class Lengths(dict):
         return n
 
 
-_WORKER: dict[tuple, Lengths] = {}
-
-
-def _lengths(path: str, table, key: str) -> Lengths:
-    if (path, key) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path, key] = Lengths(load(path), pickle.loads(table.value))
-    return _WORKER[path, key]
-
-
 def _frequent(docs: DataFrame, sample_rows: int, size: int) -> Counter:
     rows = docs.count()
     if not rows:
@@ -120,7 +110,7 @@ def count_tokens(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, ta
     key = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _lengths(model, shared, key)
+        lengths = worker_state(key, lambda: Lengths(load(model), pickle.loads(shared.value)))
         get = lengths.__getitem__
         for b in batches:
             if cut:

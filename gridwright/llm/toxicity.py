@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import mix64, slices, texts_of
+from gridwright.llm.common import mix64, slices, texts_of, worker_state
 
 MAX_TOXIC = 1_500
 MAX_CLEAN = 3_000
@@ -227,19 +227,13 @@ def fit(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CL
     return train([r[2] for r in kept], np.array([r[1] for r in kept], int) if kept else np.zeros(0, int))
 
 
-_WORKER: dict[str, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
     """``docs`` with score and predicted; text is the only column that counts."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model.vectors, model.weights, model.bias)))
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Scorer(Model(*pickle.loads(shared.value)))
-        scorer = _WORKER[key]
+        scorer = worker_state(key, lambda: Scorer(Model(*pickle.loads(shared.value))))
         for whole in batches:
             texts = texts_of(whole)
             for lo, hi in slices(texts):
