@@ -1,4 +1,558 @@
-"""Every registered core query and, where SQL can express it, its SQL."""
+"""Every registered core query, each beside the SQL that says the same.
 
-QUERIES = {}
-ORACLE_SQL = {}
+The driver's tables are clean, so queries derive messy cells from them by
+expressions that both engines can write, and put them through the operators.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridwright.functions import cells as C
+from gridwright.functions import clean
+from gridwright.functions.fields import US_DATES
+from gridwright.operators import cleaning, mapping, overlap, profiling, quality, records, structure
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ------------------------------------------------------------------ scalar functions
+@query(r"""
+    SELECT doc_id, md5(t) AS clean_md5, CAST(length(t) AS BIGINT) AS n_chars, t IS NOT NULL AS valid
+    FROM (SELECT doc_id, nullif(trim(regexp_replace(replace(chr(160) || replace(text, ' ', '  ') || chr(9), chr(160), ' '), '\s+', ' ', 'g')), '') AS t FROM documents)""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messy = F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\t"))
+    got = table(spark, sf_dir, "documents").select("doc_id", clean.clean_text(C.text_cell(messy)).alias("c"))
+    return got.select("doc_id", F.md5("c.value").alias("clean_md5"), F.length("c.value").cast("long").alias("n_chars"), "c.valid")
+
+
+_PLACEHOLDERS = "CASE event_id % 9 WHEN 0 THEN 'N/A' WHEN 1 THEN ' - ' WHEN 2 THEN 'TBD' WHEN 3 THEN '' WHEN 4 THEN 'Nil' WHEN 5 THEN '0' WHEN 6 THEN NULL ELSE event_type END"
+
+
+@query(f"""
+    SELECT event_id, coalesce(lower(trim(v)) IN ('', 'n/a', 'na', 'none', 'null', '-', '--', 'tbd', 'unknown', '?', 'pending', 'n.a.', 'nil'), true) AS is_null
+    FROM (SELECT event_id, {_PLACEHOLDERS} AS v FROM events)""")
+def null_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.expr(_PLACEHOLDERS)
+    return table(spark, sf_dir, "events").select("event_id", C.is_placeholder(C.text_cell(v)).alias("is_null"))
+
+
+_AMOUNT = """CASE o_orderkey % 9 WHEN 0 THEN '$' || n WHEN 1 THEN '(' || n || ')' WHEN 2 THEN n || '.50' WHEN 3 THEN 'x' || n WHEN 4 THEN '€ ' || n || ',000'
+    WHEN 5 THEN n || 'e2' WHEN 6 THEN '1_' || n WHEN 7 THEN 'N/A' ELSE '($' || n || '.25)' END"""
+
+
+@query(rf"""
+    WITH t AS (SELECT o_orderkey, {_AMOUNT} AS s FROM (SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS n FROM orders)),
+    p AS (SELECT o_orderkey, s, s LIKE '(%)' AS neg, CASE WHEN s LIKE '(%)' THEN substr(s, 2, length(s) - 2) ELSE s END AS inner_s FROM t WHERE s <> 'N/A'),
+    b AS (SELECT *, trim(regexp_replace(inner_s, '[$€£₹,]', '', 'g')) AS bare FROM p),
+    v AS (SELECT *, try_cast(bare AS DOUBLE) AS x FROM b)
+    SELECT o_orderkey, CASE WHEN neg THEN -x ELSE x END AS num, x IS NOT NULL AS valid,
+           CASE WHEN x IS NULL THEN 'unparseable numeric value: ''' || inner_s || '''' WHEN bare <> inner_s THEN 'currency symbols/commas stripped' END AS note
+    FROM v UNION ALL SELECT o_orderkey, NULL, false, NULL FROM t WHERE s = 'N/A'""")
+def clean_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").cast("string").alias("n"))
+    got = t.select("o_orderkey", clean.clean_numeric(C.text_cell(F.expr(_AMOUNT))).alias("c"))
+    return got.select("o_orderkey", "c.num", "c.valid", "c.note")
+
+
+_DAY = """CASE o_orderkey % 14
+    WHEN 0 THEN y || '-' || m2 || '-' || d2 WHEN 1 THEN m2 || '/' || d2 || '/' || y WHEN 2 THEN d || '/' || m || '/' || y WHEN 3 THEN m2 || '-' || d2 || '-' || y
+    WHEN 4 THEN d2 || '-' || m2 || '-' || y WHEN 5 THEN y || '/' || m || '/' || d WHEN 6 THEN mname || ' ' || d || ', ' || y WHEN 7 THEN substr(mname, 1, 3) || ' ' || d2 || ', ' || y
+    WHEN 8 THEN d || ' ' || upper(mname) || ' ' || y WHEN 9 THEN d2 || ' ' || substr(mname, 1, 3) || ' ' || y WHEN 10 THEN m || '/' || d || '/' || substr(y, 3, 2)
+    WHEN 11 THEN d2 || '/' || m2 || '/' || substr(y, 3, 2) WHEN 12 THEN 'soon' ELSE y || '-13-45' END"""
+_MONTH = "CASE mo " + " ".join(f"WHEN {i} THEN '{m.capitalize()}'" for i, m in enumerate(clean._MONTHS, 1)) + " END"
+_DATES = f"""SELECT o_orderkey, {_DAY} AS s FROM (SELECT *, CAST(yr AS VARCHAR(4)) AS y, CAST(mo AS VARCHAR(2)) AS m, CAST(da AS VARCHAR(2)) AS d, lpad(CAST(mo AS VARCHAR(2)), 2, '0') AS m2,
+    lpad(CAST(da AS VARCHAR(2)), 2, '0') AS d2, {_MONTH} AS mname
+    FROM (SELECT o_orderkey, year(o_orderdate) AS yr, month(o_orderdate) AS mo, day(o_orderdate) AS da FROM orders))"""
+
+
+def _date_sql(names: list[str]) -> str:
+    # a four-digit year takes four digits
+    parsed = {f: f"try_strptime(CASE WHEN regexp_matches(s, '[0-9]{{4}}') THEN s END, '{f}')" if "%Y" in f else f"try_strptime(s, '{f}')" for f in names}
+    tried = ", ".join(f"strftime({p}, '%Y-%m-%d')" for p in parsed.values())
+    which = " ".join(f"WHEN {p} IS NOT NULL THEN '{f}'" for f, p in parsed.items())
+    return f"SELECT o_orderkey, coalesce({tried}) AS iso, CASE {which} END AS fmt FROM ({_DATES})"
+
+
+def _messy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "orders").createOrReplaceTempView("gw_orders")
+    return spark.sql(_DATES.replace("FROM orders", "FROM gw_orders").replace("VARCHAR(4)", "STRING").replace("VARCHAR(2)", "STRING"))
+
+
+@query(_date_sql(US_DATES))
+def clean_date_us(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messy_dates(spark, sf_dir).select("o_orderkey", clean.parse_date(F.col("s"), "us").alias("x")).select("o_orderkey", "x.iso", "x.fmt")
+
+
+@query(_date_sql(clean.date_formats("international")))
+def clean_date_intl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messy_dates(spark, sf_dir).select("o_orderkey", clean.parse_date(F.col("s"), "international").alias("x")).select("o_orderkey", "x.iso", "x.fmt")
+
+
+@query(f"""
+    SELECT o_orderkey, coalesce(us <> intl, false) AS ambiguous FROM (SELECT o_orderkey,
+        coalesce(try_strptime(s, '%m/%d/%Y'), try_strptime(s, '%m-%d-%Y'), try_strptime(s, '%m/%d/%y')) AS us,
+        coalesce(try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%d-%m-%Y'), try_strptime(s, '%d/%m/%y')) AS intl FROM ({_DATES}))""")
+def ambiguous_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messy_dates(spark, sf_dir).select("o_orderkey", clean.is_ambiguous(F.col("s")).alias("ambiguous"))
+
+
+_EMAIL = "CASE c_custkey % 5 WHEN 0 THEN replace(c_name, '#', '.') || '@Example.COM' WHEN 1 THEN c_name WHEN 2 THEN ' a' || c_custkey || '@mail.example.org ' WHEN 3 THEN 'x@y' ELSE 'n/a' END"
+
+
+@query(f"""
+    SELECT c_custkey, v AS value, coalesce(regexp_matches(v, '^[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}$'), false) AS valid
+    FROM (SELECT c_custkey, CASE WHEN s <> 'n/a' THEN lower(trim(s)) END AS v FROM (SELECT c_custkey, {_EMAIL} AS s FROM customer))""")
+def clean_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = table(spark, sf_dir, "customer").select("c_custkey", clean.clean_email(C.text_cell(F.expr(_EMAIL))).alias("c"))
+    return got.select("c_custkey", "c.value", "c.valid")
+
+
+_PHONE = "CASE c_custkey % 4 WHEN 0 THEN '+1 (555) ' || lpad(CAST(c_custkey AS STRING), 7, '0') WHEN 1 THEN CAST(c_custkey AS STRING) WHEN 2 THEN '00' || repeat('12', 8) ELSE '555-' || lpad(CAST(c_custkey AS STRING), 4, '0') END"
+
+
+@query(f"""
+    SELECT c_custkey, v AS value, length(replace(v, '+', '')) BETWEEN 7 AND 15 AS valid
+    FROM (SELECT c_custkey, regexp_replace({_PHONE.replace("STRING", "VARCHAR")}, '[^0-9+]', '', 'g') AS v FROM customer)""")
+def clean_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = table(spark, sf_dir, "customer").select("c_custkey", clean.clean_phone(C.text_cell(F.expr(_PHONE))).alias("c"))
+    return got.select("c_custkey", "c.value", "c.valid")
+
+
+# ------------------------------------------------------------------ a messy sheet of orders
+HEADERS = ["Order ID", "Customer Name", "Order Date", "Total Amount", "Order Status"]
+_BLANK, _HEAD, _BAD = "o_orderkey % 50 = 0", "o_orderkey % 70 = 1", "o_orderkey % 90 = 2"
+
+
+def _orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, blank row, header, then an order a row; some rows blank, some the header again, some with nothing usable."""
+    o = table(spark, sf_dir, "orders")
+    text = lambda x: C.text_cell(F.expr(x) if isinstance(x, str) else x)
+    blank, head, bad = F.expr(_BLANK), F.expr(_HEAD), F.expr(_BAD)
+    plain = [
+        text("CAST(o_orderkey AS STRING)"),
+        text("concat('Customer  ', o_custkey % 100)"),
+        text(F.date_format("o_orderdate", "yyyy-MM-dd")),
+        C.number_cell(F.expr("CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice ELSE o_totalprice END")),
+        text("CASE o_orderstatus WHEN 'F' THEN 'n/a' ELSE o_orderstatus END"),
+    ]
+    empty = [text(F.lit(x)) for x in (None, " - ", "", "TBD", None)]
+    again = [text(F.lit(h.upper())) for h in HEADERS]
+    junk = [text(F.lit(x)) for x in ("?", "unknown", "soon", "x", "--")]
+    cells = F.when(blank, F.array(*empty)).when(head, F.array(*again)).when(bad, F.array(*junk)).otherwise(F.array(*plain))
+    rows = o.select(F.lit("orders").alias("sheet"), F.lit(0).alias("sheet_ord"), (F.col("o_orderkey") + 3).cast("long").alias("row_idx"), cells.alias("cells"))
+    top = spark.range(3).select(
+        F.lit("orders").alias("sheet"),
+        F.lit(0).alias("sheet_ord"),
+        F.col("id").alias("row_idx"),
+        F.when(F.col("id") == 0, F.array(text(F.lit("Order export")), *[C.null_cell()] * 4))
+        .when(F.col("id") == 1, F.array(*[C.null_cell()] * 5))
+        .otherwise(F.array(*[text(F.lit(h)) for h in HEADERS]))
+        .alias("cells"),
+    )
+    return rows.unionByName(top)
+
+
+def _orders_cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(cleaned rows, mapped headers).  Header and mapping are found on the first rows alone."""
+    grid = _orders_grid(spark, sf_dir)
+    profiles = structure.header_rows(grid)
+    mapped = mapping.map_headers(mapping.headers_of(grid.where(F.col("row_idx") < structure.SEARCH_ROWS), profiles))
+    return cleaning.clean_rows(grid, profiles, mapped), mapped
+
+
+_DROPPED = f"CASE WHEN {_BLANK} THEN 'blank_or_separator_row' WHEN {_HEAD} THEN 'repeated_header_row' WHEN {_BAD} THEN 'empty_or_malformed' END"
+_RECORDS = f"""SELECT 'orders' AS sheet, o_orderkey + 4 AS source_row, CAST(o_orderkey AS VARCHAR) AS id, 'Customer ' || (o_custkey % 100) AS full_name,
+    strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice ELSE o_totalprice END AS amount,
+    CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END AS status FROM orders WHERE NOT ({_BLANK} OR {_HEAD} OR {_BAD})"""
+
+
+@query(f"SELECT o_orderkey + 4 AS source_row, {_DROPPED} AS dropped FROM orders")
+def row_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_cleaned(spark, sf_dir)[0].select("source_row", "dropped")
+
+
+@query(f"SELECT {_DROPPED} AS reason, CAST(count(*) AS BIGINT) AS n FROM orders WHERE {_DROPPED} IS NOT NULL GROUP BY 1")
+def dropped_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.dropped_reasons(_orders_cleaned(spark, sf_dir)[0]).select("reason", "n")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS raw, CAST(count(*) FILTER ({_DROPPED} IS NULL) AS BIGINT) AS extracted, CAST(count(*) FILTER ({_DROPPED} IS NOT NULL) AS BIGINT) AS dropped FROM orders")
+def row_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.reconcile(_orders_cleaned(spark, sf_dir)[0]).select("raw", "extracted", "dropped")
+
+
+@query(_RECORDS)
+def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = records.to_records(_orders_cleaned(spark, sf_dir)[0])
+    return got.select("sheet", "source_row", "id", "full_name", "date", "amount", "status")
+
+
+@query(f"""
+    WITH r AS ({_RECORDS}), n AS (SELECT count(*) AS total FROM r),
+    l AS (SELECT 'id' AS field, id AS v, try_cast(id AS DOUBLE) AS x, source_row FROM r UNION ALL SELECT 'full_name', full_name, NULL, source_row FROM r
+          UNION ALL SELECT 'date', date, NULL, source_row FROM r UNION ALL SELECT 'amount', CAST(amount AS VARCHAR), amount, source_row FROM r UNION ALL SELECT 'status', status, NULL, source_row FROM r)
+    SELECT field, CAST(any_value(total) AS BIGINT) AS total_count, CAST(any_value(total) - count(v) AS BIGINT) AS null_count,
+           (any_value(total) - count(v)) / any_value(total) * 100.0 AS null_pct, CAST(count(DISTINCT v) AS BIGINT) AS unique_count,
+           CASE WHEN field IN ('id', 'amount') THEN round(min(x), 2) END AS min_value, CASE WHEN field IN ('id', 'amount') THEN round(max(x), 2) END AS max_value,
+           CASE WHEN field = 'date' THEN min(v) END AS min_date, CASE WHEN field = 'date' THEN max(v) END AS max_date,
+           CAST(CASE WHEN field = 'amount' THEN count(*) FILTER (x < 0) ELSE 0 END AS BIGINT) AS invalid_count
+    FROM l, n GROUP BY field""")
+def records_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned, _ = _orders_cleaned(spark, sf_dir)
+    recs = records.to_records(cleaned)
+    long = records.long_records(recs).where(F.col("field").isin("id", "full_name", "date", "amount", "status"))
+    issues = quality.row_issues(cleaned).unionByName(quality.negative_amounts(recs))
+    total = cleaned.where("dropped IS NULL").count()
+    return profiling.profile(long.withColumn("ord", F.col("source_row")), total, issues).select("field", "total_count", "null_count", "null_pct", "unique_count", "min_value", "max_value", "min_date", "max_date", "invalid_count")
+
+
+@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM ({_RECORDS}) WHERE amount < 0")
+def suspicious_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned, _ = _orders_cleaned(spark, sf_dir)
+    return quality.suspicious_values(cleaned, records.to_records(cleaned)).select("n")
+
+
+@query(f"""
+    SELECT severity, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT 'info' AS severity, count(*) AS n FROM orders WHERE {_DROPPED} IS NOT NULL
+        UNION ALL SELECT 'warning', count(*) FROM ({_RECORDS}) WHERE amount < 0
+        UNION ALL SELECT 'warning', 2 * count(*) FROM orders WHERE {_BAD} AND NOT ({_BLANK}) AND NOT ({_HEAD})) GROUP BY 1""")
+def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned, _ = _orders_cleaned(spark, sf_dir)
+    issues = quality.row_issues(cleaned).unionByName(quality.negative_amounts(records.to_records(cleaned)))
+    return quality.issue_summary(issues)
+
+
+@query(f"""
+    SELECT '[WARNING] orders:row ' || (source_row) || ':col ''amount''' AS place, source_row AS row FROM ({_RECORDS}) WHERE amount < 0""")
+def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridwright.plans.sinks import issue_place
+
+    issues = quality.negative_amounts(records.to_records(_orders_cleaned(spark, sf_dir)[0]))
+    return issues.select(issue_place().alias("place"), "row")
+
+
+@query(f"SELECT status, CAST(count(*) AS BIGINT) AS n, round(sum(amount), 0) AS amount FROM ({_RECORDS}) GROUP BY status")
+def sql_over_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records.to_records(_orders_cleaned(spark, sf_dir)[0]).createOrReplaceTempView("gw_records")
+    return spark.sql("SELECT status, count(*) AS n, round(sum(amount), 0) AS amount FROM gw_records GROUP BY status")
+
+
+# ------------------------------------------------------------------ structure
+def _nation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet for each region: title, blank row, header, then its nations."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    text = lambda c: C.text_cell(F.lit(c) if isinstance(c, str) else c)
+    rows = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(
+        F.col("r_name").alias("sheet"), F.col("r_regionkey").alias("sheet_ord"), (F.col("n_nationkey") + 3).cast("long").alias("row_idx"),
+        F.array(C.whole_cell(F.col("n_nationkey")), text(F.col("n_name")), C.whole_cell(F.col("n_regionkey"))).alias("cells"),
+    )
+    top = r.crossJoin(spark.range(3)).select(
+        F.col("r_name").alias("sheet"), F.col("r_regionkey").alias("sheet_ord"), F.col("id").alias("row_idx"),
+        F.when(F.col("id") == 0, F.array(text(F.col("r_name")), C.null_cell(), C.null_cell()))
+        .when(F.col("id") == 1, F.array(C.null_cell(), text("  "), C.null_cell()))
+        .otherwise(F.array(text("Nation Key"), text("Name"), text("Region Key"))).alias("cells"),
+    )
+    return rows.unionByName(top)
+
+
+_NATIONS = """SELECT r_name AS sheet, n_nationkey + 3 AS row_idx, 1 AS texts, 3 AS filled,
+    CAST(len(list_distinct([CAST(n_nationkey AS VARCHAR), lower(n_name), CAST(n_regionkey AS VARCHAR)])) AS INT) AS uniq FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT r_name, 0, 1, 1, 1 FROM region UNION ALL SELECT r_name, 1, 0, 0, 0 FROM region UNION ALL SELECT r_name, 2, 3, 3, 3 FROM region"""
+
+
+@query(f"""
+    WITH s AS (SELECT sheet, row_idx, texts / filled * .5 + uniq / filled * .3 + filled / 3 * .2 AS score FROM ({_NATIONS}) WHERE filled > 0 AND row_idx < 15)
+    SELECT sheet, CAST(arg_max(row_idx, score * 1000 - row_idx / 1000) AS BIGINT) AS header_row, max(score) >= .4 AS found, CAST(count(*) FILTER (score >= .55) AS BIGINT) AS candidates FROM s GROUP BY sheet""")
+def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.header_rows(_nation_grid(spark, sf_dir)).select("sheet", "header_row", "found", F.size("candidates").cast("long").alias("candidates"))
+
+
+@query(f"SELECT sheet, CAST(count(*) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_cols, sum(3 - filled) / (3 * count(*)) AS sparse_ratio FROM ({_NATIONS}) GROUP BY sheet")
+def sheet_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.sheet_shapes(_nation_grid(spark, sf_dir)).select("sheet", "n_rows", "n_cols", "sparse_ratio")
+
+
+@query(f"SELECT sheet, CAST(count(*) AS BIGINT) AS n FROM ({_NATIONS}) WHERE row_idx < 10 GROUP BY sheet")
+def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.limit_rows(_nation_grid(spark, sf_dir), 10).groupBy("sheet").agg(F.count("*").alias("n"))
+
+
+@query("""
+    SELECT r_name AS sheet, CAST(0 AS BIGINT) AS row_idx, r_name AS c0, r_name AS c1, r_name AS c2 FROM region
+    UNION ALL SELECT r_name, 1, NULL, '  ', NULL FROM region UNION ALL SELECT r_name, 2, 'Nation Key', 'Name', 'Region Key' FROM region
+    UNION ALL SELECT r_name, n_nationkey + 3, CASE WHEN n_nationkey BETWEEN 3 AND 5 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) THEN '3' ELSE CAST(n_nationkey AS VARCHAR) END, n_name, CAST(n_regionkey AS VARCHAR)
+    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def merged_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = _nation_grid(spark, sf_dir)
+    sheets = grid.select("sheet").distinct()
+    title = sheets.selectExpr("sheet", "0L AS r0", "0L AS c0", "0L AS r1", "2L AS c1")
+    block = grid.where("row_idx = 6").selectExpr("sheet", "6L AS r0", "0L AS c0", "8L AS r1", "0L AS c1")
+    got = structure.fill_merged(grid, title.unionByName(block))
+    return got.select("sheet", "row_idx", *[F.get("cells", F.lit(i))["s"].alias(f"c{i}") for i in range(3)])
+
+
+@query("""
+    SELECT r_name AS sheet, r_regionkey % 2 = 0 AS has_formulas FROM region""")
+def detect_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region")
+    text = F.when(F.col("r_regionkey") % 2 == 0, F.lit("=SUM(A1:A3)")).otherwise(F.col("r_name"))
+    grid = r.select(F.col("r_name").alias("sheet"), F.lit(0).alias("sheet_ord"), F.lit(0).cast("long").alias("row_idx"), F.array(C.text_cell(text)).alias("cells"))
+    return structure.has_formulas(grid)
+
+
+# ------------------------------------------------------------------ headers
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def _header_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(t, i, c) for t in TABLES for i, c in enumerate(table(spark, sf_dir, t).columns)]
+    return mapping.unique_headers(spark.createDataFrame(rows, "sheet string, col_idx int, raw string"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower('  ' || p_name || '__' || p_brand || ' No.'), '[^a-z0-9]+', ' ', 'g')) AS norm FROM part")
+def header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("  "), "p_name", F.lit("__"), "p_brand", F.lit(" No."))
+    return table(spark, sf_dir, "part").select("p_partkey", mapping.normalize(raw).alias("norm"))
+
+
+@query("""
+    SELECT CAST(p_size AS VARCHAR) AS sheet, p_partkey AS col_idx, p_brand || CASE WHEN n > 1 THEN '_' || n ELSE '' END AS header
+    FROM (SELECT *, row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey) AS n FROM part)""")
+def header_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "part").select(F.col("p_size").cast("string").alias("sheet"), F.col("p_partkey").alias("col_idx"), F.col("p_brand").alias("raw"))
+    return mapping.unique_headers(h).select("sheet", "col_idx", "header")
+
+
+@query()
+def schema_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names of all tables to canonical fields.  No SQL: the similarity is a dynamic programme; unit tests hold it against plain Python."""
+    got = mapping.map_headers(_header_table(spark, sf_dir))
+    return got.select("sheet", "col_idx", "header", "field", F.round("confidence", 3).alias("confidence"), "method")
+
+
+def _two_sheets(spark: SparkSession) -> DataFrame:
+    rows = [("c", 0, "Customer Name"), ("c", 1, "Total"), ("c", 2, "Amount Due"), ("c", 3, "Segment"), ("s", 0, "Client"), ("s", 1, "Price"), ("s", 2, "#")]
+    return mapping.unique_headers(spark.createDataFrame(rows, "sheet string, col_idx int, raw string"))
+
+
+@query("""
+    SELECT * FROM (VALUES ('amount', 'Amount Due', 'Price'), ('full_name', 'Customer Name', 'Client'), ('id', NULL, '#')) t(field, c, s)""")
+def column_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mapping.align_columns(mapping.map_headers(_two_sheets(spark)))
+    return got.select("field", F.col("sheets")["c"].alias("c"), F.col("sheets")["s"].alias("s"))
+
+
+@query("SELECT * FROM (VALUES ('c', 'amount', CAST(1.0 AS DOUBLE)), ('c', 'full_name', 1.0), ('s', 'amount', 1.0), ('s', 'full_name', 1.0), ('s', 'id', 1.0)) t(sheet, field, confidence)")
+def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mapping.field_confidence(mapping.map_headers(_two_sheets(spark)))
+
+
+def _customer_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    text = C.text_cell
+    cells = F.array(
+        text(F.col("c_name")),
+        text(F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'n/a' ELSE concat('$', c_custkey) END")),
+        text(F.expr("CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('', c_custkey * 2) END")),
+        text(F.col("c_mktsegment")),
+    )
+    grid = c.select(F.lit("c").alias("sheet"), F.lit(0).alias("sheet_ord"), (F.col("c_custkey") + 1).alias("row_idx"), cells.alias("cells"))
+    heads = mapping.map_headers(_two_sheets(spark).where("sheet = 'c'"))
+    profiles = spark.range(1).selectExpr("'c' AS sheet", "0L AS header_row")
+    return cleaning.clean_rows(grid, profiles, heads)
+
+
+@query("""
+    SELECT c_custkey + 2 AS source_row, c_name AS full_name, CAST(CASE WHEN c_custkey % 3 <> 0 THEN c_custkey WHEN c_custkey % 4 <> 0 THEN c_custkey * 2 END AS DOUBLE) AS amount,
+           c_mktsegment AS segment FROM customer""")
+def collision_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = records.to_records(_customer_cleaned(spark, sf_dir))
+    return got.select("source_row", "full_name", "amount", F.col("extra")["Segment"].alias("segment"))
+
+
+@query("SELECT c_custkey + 2 AS source_row, 'Amount Due' AS header, 'amount' AS key FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 <> 0")
+def collision_issue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.collisions(_customer_cleaned(spark, sf_dir)).select("source_row", "header", "key")
+
+
+@query("""SELECT c_custkey + 2 AS source_row, '{"Segment":"' || c_mktsegment || '"}' AS extra_fields FROM customer""")
+def records_extra_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.to_records(_customer_cleaned(spark, sf_dir)).select("source_row", F.to_json("extra").alias("extra_fields"))
+
+
+# ------------------------------------------------------------------ duplicates
+@query("""
+    SELECT first_row, event_id AS row FROM (SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first_row FROM events) WHERE event_id <> first_row""")
+def dups_in_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.lit("e").alias("sheet"), F.lit(0).alias("sheet_ord"), F.col("event_id").alias("source_row"), F.col("user_id").cast("string").alias("id"))
+    return quality.duplicates_in_sheet(e).select("first_row", "row")
+
+
+@query("""
+    WITH f AS (SELECT c_nationkey AS k, min(c_custkey) AS first_row FROM customer GROUP BY 1)
+    SELECT 'customer' AS first_sheet, first_row, 'supplier' AS sheet, s_suppkey AS row FROM supplier JOIN f ON s_nationkey = k""")
+def dups_cross_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.lit("customer").alias("sheet"), F.lit(0).alias("sheet_ord"), F.col("c_custkey").alias("source_row"), F.concat(F.lit(" N"), "c_nationkey").alias("id"))
+    s = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("sheet"), F.lit(1).alias("sheet_ord"), F.col("s_suppkey").alias("source_row"), F.concat(F.lit("n"), "s_nationkey").alias("id"))
+    return quality.duplicates_across_sheets(c.unionByName(s))
+
+
+# ------------------------------------------------------------------ sheets against sheets
+def _entry(field: str, value: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), value.cast("string").alias("value"))
+
+
+def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets of orders: a and its copy b, c with a part of them, d with other fields."""
+    o = table(spark, sf_dir, "orders")
+    values = F.array(_entry("id", F.col("o_orderkey")), _entry("status", F.col("o_orderstatus")), _entry("notes", F.lit(" ")))
+    parts = [
+        o.where(cond).select(F.lit(s).alias("sheet"), F.lit(i).alias("sheet_ord"), F.col("o_orderkey").alias("source_row"), v.alias("values"))
+        for i, (s, cond, v) in enumerate([("a", "o_orderkey % 3 = 0", values), ("b", "o_orderkey % 3 = 0", values), ("c", "o_orderkey % 6 = 0 OR o_orderkey % 6 = 1", values), ("d", "o_orderkey % 10 = 0", F.array(_entry("company", F.col("o_custkey"))))])
+    ]
+    return records.union_by_name(parts).withColumn("row_hash", overlap.row_hash(F.col("values")))
+
+
+_SLICES = """WITH t AS (SELECT 'a' AS s, o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'b', o_orderkey FROM orders WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT 'c', o_orderkey FROM orders WHERE o_orderkey % 6 IN (0, 1) UNION ALL SELECT 'd', -1 - o_custkey FROM orders WHERE o_orderkey % 10 = 0),
+    n AS (SELECT s, count(*) AS n FROM t GROUP BY 1),
+    p AS (SELECT x.s AS a, y.s AS b, x.n AS len_a, y.n AS len_b FROM n x JOIN n y ON x.s < y.s),
+    h AS (SELECT x.s AS a, y.s AS b, count(DISTINCT x.k) AS shared FROM t x JOIN t y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2)"""
+
+
+@query(f"{_SLICES} SELECT p.a, p.b, CAST(len_a AS BIGINT) AS len_a, CAST(len_b AS BIGINT) AS len_b, CAST(coalesce(shared, 0) AS BIGINT) AS shared FROM p LEFT JOIN h ON p.a = h.a AND p.b = h.b")
+def row_hash_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _slices(spark, sf_dir)
+    return overlap.shared_rows(rows, overlap.sheet_pairs(rows)).select("a", "b", "len_a", "len_b", "shared")
+
+
+@query(f"""{_SLICES} SELECT p.a, p.b, CASE WHEN p.b = 'd' THEN 'UNIQUE' WHEN len_a = len_b AND len_a = shared THEN 'IDENTICAL' WHEN shared > 0 THEN 'PARTIAL_OVERLAP' ELSE 'UNIQUE' END AS class,
+    CASE WHEN p.b = 'd' OR coalesce(shared, 0) = 0 THEN 0.0 WHEN len_a = len_b AND len_a = shared THEN 100.0 ELSE round(CAST(shared AS DOUBLE) / least(len_a, len_b) * 100, 1) END AS overlap_pct
+    FROM p LEFT JOIN h ON p.a = h.a AND p.b = h.b""")
+def overlap_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _slices(spark, sf_dir)
+    fields = spark.createDataFrame([("a", ["id", "status"]), ("b", ["id", "status"]), ("c", ["id", "status"]), ("d", ["company"])], "sheet string, fields array<string>")
+    return overlap.classify(overlap.shared_rows(rows, overlap.sheet_pairs(rows)), fields).select("a", "b", "class", "overlap_pct")
+
+
+@query("SELECT 'a' AS sheet, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'c', count(*) FROM orders WHERE o_orderkey % 6 IN (0, 1) UNION ALL SELECT 'd', count(*) FROM orders WHERE o_orderkey % 10 = 0")
+def drop_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _slices(spark, sf_dir)
+    kinds = overlap.classify(overlap.shared_rows(rows, overlap.sheet_pairs(rows)), spark.createDataFrame([("d", ["company"])], "sheet string, fields array<string>"))
+    dropped = overlap.decide([r.asDict() for r in kinds.collect()])[1]  # a row for each pair of sheets
+    return overlap.drop_sheets(rows, dropped).groupBy("sheet").agg(F.count("*").alias("n"))
+
+
+_V2 = "o_orderkey % 4 <> 3"
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf_dir, "orders")
+    v1 = o.where("o_orderkey % 5 <> 4").select(F.lit("v1").alias("sheet"), F.lit(0).alias("sheet_ord"), F.col("o_orderkey").alias("source_row"),
+        F.array(_entry("id", F.concat(F.lit(" "), "o_orderkey")), _entry("status", F.col("o_orderstatus")), _entry("notes", F.lit(None))).alias("values"))
+    v2 = o.where(_V2).select(F.lit("v2").alias("sheet"), F.lit(1).alias("sheet_ord"), (F.col("o_orderkey") + 7).alias("source_row"),
+        F.array(_entry("id", F.col("o_orderkey")), _entry("status", F.expr("CASE WHEN o_orderkey % 6 = 0 THEN lower(o_orderstatus) ELSE concat(o_orderstatus, ' ') END")), _entry("notes", F.lit(""))).alias("values"))
+    rows = v1.unionByName(v2).withColumn("row_hash", overlap.row_hash(F.col("values")))
+    return rows, overlap.sheet_pairs(rows)
+
+
+@query(f"""
+    SELECT 'v1' AS a, 'v2' AS b, CAST(c AS BIGINT) AS common, CAST(x AS BIGINT) AS only_a, CAST(y AS BIGINT) AS only_b, round(CAST(c AS DOUBLE) / (c + x + y) * 100.0, 1) AS overlap_pct
+    FROM (SELECT count(*) FILTER (o_orderkey % 5 <> 4 AND {_V2}) AS c, count(*) FILTER (o_orderkey % 5 <> 4 AND NOT ({_V2})) AS x, count(*) FILTER (o_orderkey % 5 = 4 AND {_V2}) AS y FROM orders)""")
+def sheet_diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.sheet_diffs(*_versions(spark, sf_dir))[0]
+
+
+@query(f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS row_a, o_orderkey + 7 AS row_b, 'status' AS field, o_orderstatus AS val_a, lower(o_orderstatus) AS val_b
+    FROM orders WHERE o_orderkey % 5 <> 4 AND {_V2} AND o_orderkey % 6 = 0 AND lower(o_orderstatus) <> o_orderstatus""")
+def sheet_diff_modified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.sheet_diffs(*_versions(spark, sf_dir))[1].drop("a", "b")
+
+
+@query(f"""
+    SELECT 'a' AS side, o_orderkey AS source_row FROM orders WHERE o_orderkey % 5 <> 4 AND NOT ({_V2})
+    UNION ALL SELECT 'b', o_orderkey + 7 FROM orders WHERE o_orderkey % 5 = 4 AND {_V2}""")
+def only_in_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.sheet_diffs(*_versions(spark, sf_dir))[2].drop("a", "b")
+
+
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS row_a, o_orderkey + 7 AS row_b FROM orders WHERE o_orderkey % 5 <> 4 AND {_V2}")
+def sheet_diff_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.common_rows(*_versions(spark, sf_dir)).drop("a", "b")
+
+
+@query("""
+    SELECT c_name AS full_name, c_acctbal AS amount, c_mktsegment AS status, 'customer' AS source_sheet FROM customer
+    UNION ALL SELECT s_name, s_acctbal, NULL, 'supplier' FROM supplier""")
+def union_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("full_name"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("status"), F.lit("customer").alias("source_sheet"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("full_name"), F.col("s_acctbal").alias("amount"), F.lit("supplier").alias("source_sheet"))
+    return records.union_by_name([c, s])
+
+
+# ------------------------------------------------------------------ profiles
+def _lineitem_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four columns of lineitem in long form; ord is any total order: the key columns and quantity."""
+    li = table(spark, sf_dir, "lineitem")
+    none = F.lit(None).cast("double")
+    parts = F.array(
+        F.struct(F.lit("quantity").alias("field"), F.lit(None).cast("string").alias("value"), F.col("l_quantity").alias("num")),
+        F.struct(F.lit("flag").alias("field"), F.expr("CASE WHEN l_orderkey % 10 = 0 THEN ' ' ELSE l_returnflag END").alias("value"), none.alias("num")),
+        F.struct(F.lit("shipped").alias("field"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("value"), none.alias("num")),
+        F.struct(F.lit("part").alias("field"), F.col("l_partkey").cast("string").alias("value"), none.alias("num")),
+    )
+    rows = li.select(F.col("l_orderkey").alias("ord"), F.explode(parts).alias("x")).select("ord", "x.*")
+    return rows.withColumn("value", F.coalesce("value", C.float_text(F.col("num"))))
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS total FROM lineitem)
+    SELECT 'quantity' AS field, CAST(any_value(total) AS BIGINT) AS total_count, CAST(0 AS BIGINT) AS null_count, round(min(l_quantity), 2) AS min_value, round(max(l_quantity), 2) AS max_value, round(avg(l_quantity), 2) AS mean_value, NULL AS min_date, NULL AS max_date FROM lineitem, n
+    UNION ALL SELECT 'flag', any_value(total), count(*) FILTER (l_orderkey % 10 = 0), NULL, NULL, NULL, NULL, NULL FROM lineitem, n
+    UNION ALL SELECT 'shipped', any_value(total), 0, NULL, NULL, NULL, min(strftime(l_shipdate, '%Y-%m-%d')), max(strftime(l_shipdate, '%Y-%m-%d')) FROM lineitem, n
+    UNION ALL SELECT 'part', any_value(total), 0, round(min(l_partkey), 2), round(max(l_partkey), 2), round(avg(l_partkey), 2), NULL, NULL FROM lineitem, n""")
+def profile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = table(spark, sf_dir, "lineitem").count()
+    return profiling.field_stats(_lineitem_long(spark, sf_dir), total).drop("null_pct")
+
+
+@query("""
+    WITH v AS (SELECT event_type AS v, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, f) AS rank FROM v)
+    SELECT 'event_type' AS field, (SELECT CAST(count(*) AS BIGINT) FROM v) AS unique_count, CAST(rank AS INT) AS rank, v AS value, CAST(n AS BIGINT) AS n FROM r WHERE rank <= 5""")
+def profile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.lit("event_type").alias("field"), F.col("event_type").alias("value"), F.col("event_id").alias("ord"))
+    got = profiling.top_values(e).select("field", "unique_count", F.posexplode("top_values").alias("rank", "x"))
+    return got.select("field", "unique_count", (F.col("rank") + 1).alias("rank"), "x.value", "x.n")
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS total, count(*) FILTER (c_custkey % 7 = 0) AS nulls, count(*) FILTER (c_acctbal < 0) AS bad FROM customer)
+    SELECT 'amount' AS field, nulls / total * 100.0 AS null_pct, bad / total * 100.0 AS invalid_pct, greatest(0.0, round(100.0 - (nulls / total * 100.0 * 0.5 + bad / total * 100.0 * 0.5), 1)) AS quality_score FROM n""")
+def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    num = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal"))
+    long = c.select(F.lit("amount").alias("field"), F.col("c_custkey").alias("ord"), C.float_text(num).alias("value"), num.alias("num"))
+    issues = c.where("c_acctbal < 0").select(F.lit("amount").alias("column"))
+    return profiling.profile(long, c.count(), issues).select("field", "null_pct", "invalid_pct", "quality_score")
