@@ -117,7 +117,7 @@ ORACLE_SQL = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
                CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               CAST(sum(length(role) + 1 + CASE WHEN role = 'assistant' THEN 7 ELSE 18 END
+               CAST(sum(CASE WHEN esc THEN 2 ELSE 1 END * length(role) + 1 + CASE WHEN role = 'assistant' THEN 7 ELSE 18 END
                         + CASE WHEN esc THEN 1 + length(escaped) ELSE length(text) END) AS BIGINT) AS formatted_chars
         FROM sized GROUP BY conv_id""",
 }
