@@ -72,6 +72,8 @@ def _segment_anchors(raw: bytes, ends: np.ndarray, starts: np.ndarray, length: i
     np.add.at(inside, starts[ok], 1)
     np.add.at(inside, ends[ok] - length + 1, -1)
     start = np.flatnonzero(np.cumsum(inside[:n]))
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     best = best[start]
     # the strings with one anchor start side by side, and anchors never go back
     first = np.flatnonzero(np.diff(best, prepend=-1))
