@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import words
+from corpus import words
 
 from gridwright.llm import components, decontam, near_duplicates, passages
 

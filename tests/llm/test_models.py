@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import words
+from corpus import words
 from public_tokenizers import path
 
 from gridwright.llm import chat, langid, omh, toxicity

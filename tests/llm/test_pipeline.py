@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import words
+from corpus import words
 
 import corpus_pipeline
 
