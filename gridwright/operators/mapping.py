@@ -76,6 +76,14 @@ def map_headers(headers: DataFrame, registry: FieldRegistry | None = None, thres
     )
 
 
+def pin(metadata: DataFrame) -> DataFrame:
+    """``metadata`` computed now and held as a local table: a row for each header or sheet, never for data.
+
+    Plans over the data then broadcast it, instead of working it out again in every branch.
+    """
+    return metadata.sparkSession.createDataFrame(metadata.collect(), metadata.schema)
+
+
 def sanitize_header(header: str) -> str:
     """A header fit for a prompt: its first 100 characters, no control characters, no double quotes."""
     return "".join(c for c in header[:100] if ord(c) >= 32).replace('"', "'")

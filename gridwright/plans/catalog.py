@@ -175,8 +175,9 @@ def _orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders_cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(cleaned rows, mapped headers).  Header and mapping are found on the first rows alone."""
     grid = _orders_grid(spark, sf_dir)
-    profiles = structure.header_rows(grid)
-    mapped = mapping.map_headers(mapping.headers_of(grid.where(F.col("row_idx") < structure.SEARCH_ROWS), profiles))
+    top = grid.where(F.col("row_idx") < structure.SEARCH_ROWS)
+    profiles = mapping.pin(structure.header_rows(top))
+    mapped = mapping.pin(mapping.map_headers(mapping.headers_of(top, profiles)))
     return cleaning.clean_rows(grid, profiles, mapped), mapped
 
 
@@ -378,7 +379,7 @@ def _customer_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(F.col("c_mktsegment")),
     )
     grid = c.select(F.lit("c").alias("sheet"), F.lit(0).alias("sheet_ord"), (F.col("c_custkey") + 1).alias("row_idx"), cells.alias("cells"))
-    heads = mapping.map_headers(_two_sheets(spark).where("sheet = 'c'"))
+    heads = mapping.pin(mapping.map_headers(_two_sheets(spark).where("sheet = 'c'")))
     profiles = spark.range(1).selectExpr("'c' AS sheet", "0L AS header_row")
     return cleaning.clean_rows(grid, profiles, heads)
 
