@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from gridwright.llm.common import mix64, slices, texts_of, worker_state
 
-MAX_TOXIC = 1_500
-MAX_CLEAN = 3_000
-MAX_TRAIN_WORDS = 4_000_000  # of the training documents together, in the order of their hashes
+MAX_TOXIC = 1_000
+MAX_CLEAN = 2_000
+MAX_TRAIN_WORDS = 1_500_000  # of the training documents together, in the order of their hashes
 BUCKETS = 1 << 16
 DIM = 8
 WINDOW = 8
@@ -50,8 +50,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket of every feature, number of features of each word); words one after another."""
+def features(words: list[str], part: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of every feature, number of features of each word); words one after another.
+
+    A part of the words at a time: what is made in between is many times as large as the result.
+    """
+    made = [_features(words[lo : lo + part]) for lo in range(0, len(words), part)]
+    return np.concatenate([x for x, _ in made]), np.concatenate([n for _, n in made])
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.cumsum(lens)
@@ -71,7 +79,7 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owners.append(np.arange(len(words)))
     bucket, who = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(who, kind="stable")
-    return (bucket[order] % _U(BUCKETS)).astype(np.int64), np.bincount(who, minlength=len(words))
+    return (bucket[order] % _U(BUCKETS)).astype(np.int32), np.bincount(who, minlength=len(words))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -128,7 +136,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, epochs: int = 6
     weights[1], weights[0] = rng.normal(0, 0.5, DIM), 0
     bias = 0.0
     index: dict[str, int] = {PAD: 0}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(x)], np.int64) for x in texts]
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(x)], np.int32) for x in texts]
     docs, labels = [d for d in docs if len(d)], labels[[len(d) > 0 for d in docs]].astype(float)
     if not len(docs) or labels.min() == labels.max():
         return Model(np.zeros((BUCKETS, DIM)), np.zeros((2, DIM)), -60.0)
@@ -216,14 +224,13 @@ def fit(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CL
         part = keyed.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
-    rows = sorted(((r.doc_id, r.toxic, r.text or "") for r in rows.where("toxic IS NOT NULL").toLocalIterator()))
-    rng = np.random.default_rng(1)
+    rows = rows.where("toxic IS NOT NULL").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "toxic", "text")
     kept, words = [], 0
-    for i in rng.permutation(len(rows)):
-        if words > MAX_TRAIN_WORDS:
-            break
-        kept.append(rows[i])
-        words += rows[i][2].count(" ")
+    for r in rows.toLocalIterator():
+        if words <= MAX_TRAIN_WORDS:
+            kept.append((r.doc_id, r.toxic, r.text or ""))
+            words += kept[-1][2].count(" ")
+    kept.sort()
     return train([r[2] for r in kept], np.array([r[1] for r in kept], int) if kept else np.zeros(0, int))
 
 
