@@ -1,22 +1,34 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Only minima are aggregated and joined back, so no task gathers a node's
+Hubs' minima are aggregated and joined back, so no task gathers a hub's
 neighbours; every round is stored in the shared folder.  The number of rounds grows with the logarithm of
 the longest chain.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm.common import materialize
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Each (u, v) with the least of u and all its v."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+def _small(e: DataFrame) -> DataFrame:
+    """Small star: a node's smaller neighbours, and itself, join the least of them.
+
+    A node has few smaller neighbours (at most one for each band and pair of
+    blocks that it was compared in), so a window is enough and no join is needed.
+    """
+    m = F.min("v").over(Window.partitionBy("u"))
+    kept = e.withColumn("m", m).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return kept.distinct()
+
+
+def _large(e: DataFrame) -> DataFrame:
+    """Large star: a node's larger neighbours join the least of all.  A hub has many, so its minimum is aggregated and joined back."""
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,11 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = materialize(e, "edges")
     last = _state(e)
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = _with_least(large)  # u > v throughout
-        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = materialize(_large(_small(e)), "edges")
         now = _state(e)
         if now == last:
             break
