@@ -122,6 +122,15 @@ def test_large_delimited(spark, tmp_path):
     assert [r.row_idx for r in rows] == list(range(501)) and rows[7].cells[0].s == "n6" and rows[0].cells[1].s == "Total"
 
 
+def test_large_delimited_is_as_wide_as_its_widest_row(spark, tmp_path):
+    lines = ["Order export", "", "id,name,amount", '1,"Stone, Bob",5', '2,"say ""hi"", you",6,', '3,5" pipe, 6" pipe', '"C:\\",x', "4,,,note"]
+    want = [r for r in csv.reader(lines) if r]
+    got = files.read_large_delimited(spark, save(tmp_path, "title.csv", "\n".join(lines) + "\n")).orderBy("row_idx").collect()
+    assert [[c.s for c in r.cells] for r in got] == [[x or None for x in r] + [None] * (4 - len(r)) for r in want]
+    got = files.read_large_delimited(spark, save(tmp_path, "pipes.txt", 'a\n"1|2"|3\n'), "|").orderBy("row_idx").collect()
+    assert [[c.s for c in r.cells] for r in got] == [["a", None], ["1|2", "3"]]
+
+
 # ------------------------------------------------------------------ the whole run
 def test_records(result):
     x, _ = result
