@@ -37,7 +37,7 @@ MAX_TRAIN_WORDS = 1_500_000  # of the training documents together, in the order
 BUCKETS = 1 << 16
 DIM = 8
 WINDOW = 8
-STRIDE = 4
+STRIDE = 1
 THRESHOLD = 0.7
 CACHE_WORDS = 400_000
 #: Stands in every window, so that a few words alone don't decide; no text holds it as a word.
@@ -103,23 +103,32 @@ class Model:
         return float(window_means(words, shares, sizes)[2].max()) + self.bias
 
 
-def once(words: np.ndarray) -> np.ndarray:
-    """Which words aren't repeats of one among the WINDOW - 1 before them."""
+def previous(words: np.ndarray) -> np.ndarray:
+    """Where each word stood last before; -1: nowhere."""
     order = np.argsort(words, kind="stable")
-    near = np.zeros(len(words), bool)
-    near[1:] = (words[order[1:]] == words[order[:-1]]) & (order[1:] - order[:-1] < WINDOW)
-    out = np.empty(len(words), bool)
-    out[order] = ~near
+    out = np.full(len(words), -1)
+    same = words[order[1:]] == words[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
 def window_means(words: np.ndarray, shares: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, end, mean share of a feature) of each window; a word counts once in a window.  Word 0 is PAD."""
-    fresh = once(words)
-    s = np.concatenate([[0.0], np.cumsum(np.where(fresh, shares[words], 0.0))])
-    n = np.concatenate([[0], np.cumsum(np.where(fresh, sizes[words], 0))])
-    lo, hi = window_edges(len(words))
-    return lo, hi, (s[hi] - s[lo] + shares[0]) / (n[hi] - n[lo] + sizes[0])
+    """(first word, end, mean share of a feature) of each window; a word counts once in a window.  Word 0 is PAD.
+
+    A place counts in the windows that hold it and not the word's previous place.
+    """
+    n = len(words)
+    lo, hi = window_edges(n)
+    at = np.arange(n)
+    first = np.maximum(np.maximum(previous(words) + 1, at - WINDOW + 1), 0)  # of the windows in which the place counts
+
+    def sums(of_word: np.ndarray) -> np.ndarray:
+        x = of_word[words].astype(float)
+        step = np.bincount(first, x, n + 1).astype(float)  # whole numbers where there are no words
+        step[1:] -= x
+        return np.cumsum(step)[lo]
+
+    return lo, hi, (sums(shares) + shares[0]) / (sums(sizes) + sizes[0])
 
 
 def window_edges(n: int) -> tuple[np.ndarray, np.ndarray]:

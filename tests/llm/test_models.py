@@ -72,6 +72,18 @@ def test_windows_cover_all_words():
         assert all(lo[i + 1] <= hi[i] for i in range(len(lo) - 1))
 
 
+def test_every_window_counts_each_of_its_words_once():
+    rng = np.random.default_rng(8)
+    shares, sizes = rng.normal(size=12), rng.integers(3, 30, 12)
+    for n in [*range(1, 20), 60]:
+        words = rng.integers(1, 12, n)
+        lo, hi, got = toxicity.window_means(words, shares, sizes)
+        assert lo.tolist() == list(range(max(1, n - toxicity.WINDOW + 1)))
+        for a, b, mean in zip(lo, hi, got, strict=True):
+            held = [0, *set(words[a:b].tolist())]
+            assert mean == pytest.approx(shares[held].sum() / sizes[held].sum(), rel=1e-9)
+
+
 # ------------------------------------------------------------------ languages
 SYLLABLES = {"aa": "the and ing ed tion of er".split(), "bb": "sch und ein keit lich der ung".split(), "cc": "que eau elle les ment oux eux".split()}
 
