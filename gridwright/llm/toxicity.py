@@ -11,7 +11,8 @@ Training knows a label for a whole text only: in each round every training text
 stands for its worst window so far (at first, for all of its words).  Words count once in a window, so
 that mere repetition is no sign.  At most
 ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents are learned from, those with the
-smallest hashes of doc_id.  Scoring is linear in the buckets, so each distinct word's
+smallest hashes of doc_id; of these, as many as ``MAX_TRAIN_WORDS`` hold for each label, and one
+that is too long for what is left is passed over.  Scoring is linear in the buckets, so each distinct word's
 share of the logit is kept in a bounded table.
 
 Texts without words (null, too) are judged by what stands in every window; without labelled rows of both kinds every score is 0.
@@ -33,7 +34,7 @@ from gridwright.llm.common import mix64, slices, texts_of, worker_state
 
 MAX_TOXIC = 1_000
 MAX_CLEAN = 2_000
-MAX_TRAIN_WORDS = 1_500_000  # of the training documents together, in the order of their hashes
+MAX_TRAIN_WORDS = 1_500_000  # of the training documents of each label, in the order of their hashes
 BUCKETS = 1 << 16
 DIM = 8
 WINDOW = 8
@@ -234,11 +235,13 @@ def fit(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CL
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
     rows = rows.where("toxic IS NOT NULL").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "toxic", "text")
-    kept, words = [], 0
+    kept, left = [], {}
     for r in rows.toLocalIterator():
-        if words <= MAX_TRAIN_WORDS:
-            kept.append((r.doc_id, r.toxic, r.text or ""))
-            words += kept[-1][2].count(" ")
+        text = r.text or ""
+        n = sum(1 for _ in _WORD.finditer(text.lower()))  # as words_of counts
+        if n <= left.setdefault(r.toxic, MAX_TRAIN_WORDS):
+            kept.append((r.doc_id, r.toxic, text))
+            left[r.toxic] -= n
     kept.sort()
     return train([r[2] for r in kept], np.array([r[1] for r in kept], int) if kept else np.zeros(0, int))
 

@@ -84,6 +84,15 @@ def test_every_window_counts_each_of_its_words_once():
             assert mean == pytest.approx(shares[held].sum() / sizes[held].sum(), rel=1e-9)
 
 
+def test_training_words_are_bounded_for_each_label(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(toxicity, "MAX_TRAIN_WORDS", 200)
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.extend(zip(texts, labels.tolist(), strict=True)))
+    rows = [(i, "\t".join(["long"] * 500), 1) for i in range(3)] + [(10 + i, "\n".join([f"w{i}"] * 30), i % 2) for i in range(12)]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert sorted(taken) == sorted((t, y) for _, t, y in rows[3:])
+
+
 # ------------------------------------------------------------------ languages
 SYLLABLES = {"aa": "the and ing ed tion of er".split(), "bb": "sch und ein keit lich der ung".split(), "cc": "que eau elle les ment oux eux".split()}
 
