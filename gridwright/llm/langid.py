@@ -31,7 +31,7 @@ from gridwright.llm.common import mix64, slices, texts_of, worker_state
 MAX_DOCS = 800  # labelled documents to learn from, about, for each language
 MAX_WORDS = 15_000  # most frequent distinct words of the sample, for each language
 ROUNDS = 3
-MAX_PIECE = 10  # letters of the longest piece used, with the start mark
+MAX_PIECE = 16  # letters of the longest piece used, with the start mark
 BLOCK = 40
 CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,6 +46,13 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def blocks_of(words: list[str]) -> list[str]:
+    """``words`` with those of more than BLOCK letters cut into blocks; nothing is left out."""
+    if max(map(len, words), default=0) <= BLOCK:
+        return words
+    return [w[i : i + BLOCK] for w in words for i in range(0, len(w), BLOCK)]
+
+
 def vocabulary(path: str) -> list[str]:
     """Pieces of letters in lower case, with or without the start mark."""
     import sentencepiece
@@ -176,8 +183,7 @@ class Scorer:
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if len(self.index) > self.size:
             self._clear()
-        words = [words_of(x) for x in texts]
-        words = [[p for w in ws for p in (w[i : i + BLOCK] for i in range(0, len(w), BLOCK))] if max(map(len, ws), default=0) > BLOCK else ws for ws in words]
+        words = [blocks_of(words_of(x)) for x in texts]
         index = self.index
         had = len(index)
         for ws in words:
@@ -215,8 +221,8 @@ def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = MAX_DOCS, max
         seen: dict[tuple[str, str], int] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                for w in words_of(text):
-                    seen[lang, w[:BLOCK]] = seen.get((lang, w[:BLOCK]), 0) + 1
+                for w in blocks_of(words_of(text)):
+                    seen[lang, w] = seen.get((lang, w), 0) + 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
             names=["lang", "word", "n"],

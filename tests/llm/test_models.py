@@ -153,6 +153,24 @@ def test_forward_sums_all_segmentations(language_model):
             assert got[i, lang] == pytest.approx(np.log(total("▁" + w, lang)), rel=1e-9)
 
 
+def test_long_runs_are_learned_whole(spark, monkeypatch):
+    learned = []
+    fit_one = langid.fit_one
+    monkeypatch.setattr(langid, "fit_one", lambda lattice, n, words, counts: learned.extend(words) or fit_one(lattice, n, words, counts))
+    run = "ab" * 20 + "cd" * 20 + "ef"
+    langid.fit(spark.createDataFrame([(run, "aa")], "text string, lang string"), path("piece_bpe_32k.model"))
+    assert sorted(learned) == [run[:40], run[40:80], run[80:]]
+
+
+def test_long_pieces_are_in_the_vocabulary():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    pieces = {sp.id_to_piece(i) for i in range(sp.vocab_size())}
+    words = {p for p in pieces if p.lstrip("▁").isalpha() and p == p.lower() and "▁" not in p[1:]}
+    assert max(map(len, words)) > 10 and words <= set(langid.vocabulary(path("piece_bpe_32k.model")))
+
+
 # ------------------------------------------------------------------ fingerprints
 def test_fingerprint_follows_order():
     rng = random.Random(1)
