@@ -15,8 +15,8 @@ none, is one shingle); linked are those with a Jaccard index of at least ``THRES
    spanning forest of the verified pairs leave a task, never the pairs.
 4. The components of the verified pairs are the classes.
 
-At the threshold itself a pair misses all bands with probability 3e-6 and is
-pruned with less than 1e-6.  Verification grows with the square of the
+At the threshold itself a pair misses all bands with probability 3e-6 (lost only if nothing
+else holds the two in one class) and is pruned with less than 1e-6.  Verification grows with the square of the
 number of *different* near-identical texts in one class, since links are counted one by one; it is
 dealt out by pairs of blocks.
 
@@ -260,13 +260,11 @@ def _verify(rows: list[tuple]) -> tuple[list[tuple[int, int]], list[tuple[int, i
         return [], []
     shingle, starts, _, _ = shingles([x[3] or b"" for x in rows])
     sig = sketch(shingle, starts)
-    band = bands(sig)
     left, right = [], []
     for i, j in _pairs(len(rows), cut):
         i, j = prune(sig, i, j)
-        meets = (band[i] == band[j]).any(1) if len(i) else np.zeros(0, bool)
-        left.append(i[meets])
-        right.append(j[meets])
+        left.append(i)
+        right.append(j)
     i, j = np.concatenate(left), np.concatenate(right)
     if not len(i):
         return [], []

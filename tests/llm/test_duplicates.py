@@ -108,6 +108,15 @@ def test_intersections():
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
 
+def test_pairs_in_a_class_need_no_band_in_common(monkeypatch):
+    rng = random.Random(12)
+    text = words(rng, 200)
+    rows = [(0, 1, 1, text.encode(), False), (0, 2, 1, (text + " " + words(rng, 12)).encode(), False)]
+    monkeypatch.setattr(near_duplicates, "bands", lambda sig: np.arange(len(sig))[:, None])
+    edges, links = near_duplicates._verify(rows)
+    assert [sorted(x) for x in edges] == [[1, 2]] and links == [(1, 1), (2, 1)]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
