@@ -45,8 +45,9 @@ def _kmers(text: str) -> np.ndarray:
 def _numbered(kmer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(k-mer, position, 32-bit hash of k-mer and occurrence number), in any order."""
     n = len(kmer)
+    kmer = kmer & ~_POS  # whatever the text's length, so that all texts have the same hashes
     if n <= int(_POS):
-        key = np.sort((kmer & ~_POS) | np.arange(n, dtype=np.uint64))
+        key = np.sort(kmer | np.arange(n, dtype=np.uint64))
         pos, kmer = (key & _POS).astype(np.int64), key & ~_POS
     else:
         pos = np.argsort(kmer, kind="stable")

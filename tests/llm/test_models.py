@@ -200,6 +200,12 @@ def test_occurrence_numbers():
     assert len(set(x.tolist())) == len(x) == 33 and sorted(pos.tolist()) == list(range(33))
 
 
+def test_hashes_dont_depend_on_the_length():
+    kmer = omh.mix64(np.arange((1 << 24) + 5, dtype=np.uint64))
+    short, long = omh._numbered(kmer[:1000]), omh._numbered(kmer)
+    assert np.isin(short[0], long[0]).all() and np.isin(short[2], long[2]).all()
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_edited_texts(spark, docs, no_docs, parts):
     got = omh.compare_edited(docs, parts).collect()
