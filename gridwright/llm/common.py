@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,10 +23,12 @@ _TABLES: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a local folder is set.
+    Only a session in one process (tests, a laptop) may have none: a local folder is made for it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridwright-")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         _LOCAL.setdefault(spark.sparkContext.applicationId, found)
@@ -146,20 +149,36 @@ def slices(texts: list, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever its case: for columns that come and go within an operator."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ------------------------------------------------------------------ words of byte strings
 #: A word is a run of 0-9, a-z and bytes above 0x7F, after A-Z became a-z.
 _U64 = np.uint64
 
 
 @functools.cache
-def _byte_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _byte_tables(by_space: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(is it part of a word, value in a word's hash) of each byte."""
     low = np.arange(256, dtype=np.uint8)
-    low[65:91] += 32
     word = np.zeros(256, bool)
-    word[48:58] = word[97:123] = word[128:] = True
-    word[65:91] = True
+    if by_space:
+        word[:] = True
+        word[list(b" \t\n\v\f\r")] = False
+    else:
+        low[65:91] += 32
+        word[48:58] = word[65:91] = word[97:123] = word[128:] = True
     value = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * _U64(2) + _U64(1)
-    return low, word, np.where(word, value[low], _U64(0))
+    return word, np.where(word, value[low], _U64(0))
 
 
 _P = 0x9E3779B97F4A7C15
@@ -191,15 +210,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def scan_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def scan_words(texts: list[bytes], by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words of all ``texts`` in one pass: (starts, ends, 64-bit hashes, word offset of each text, buffer).
 
     Starts and ends are byte offsets in the returned buffer, in which the texts
-    stand one after another with a zero byte between.
+    stand one after another with a line break between.  With ``by_space`` a word is
+    a run of other bytes than ASCII white space, as it stands.
     """
-    raw = b"\0".join(texts) + b"\0"
+    raw = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(raw, np.uint8)
-    _, word, value = _byte_tables()
+    word, value = _byte_tables(by_space)
     is_word = word[buf]
     edge = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[0::2], edge[1::2]

@@ -1,33 +1,39 @@
-"""Repeated passages: every byte covered by a ``LENGTH``-byte string that starts more than once.
+"""Repeated passages: all that is covered by a string of ``length`` units that starts more than once.
 
-Sorting the suffixes of all positions is not needed.  Of each LENGTH-byte string one
-*anchor* is looked at: the position in it whose ``K`` bytes have the smallest hash
+Units are bytes (``BYTES``: strings of 400) or words (``WORDS``: strings of 51, that is more than 50;
+a word is a run of other than ASCII white space, as it stands, and is told from others by 64 bits).
+Below, K and length are counted in units.
+
+Sorting the suffixes of all positions is not needed.  Of each string of ``length`` units one
+*anchor* is looked at: the position in it whose ``k`` units have the smallest hash
 (leftmost of equals).  Equal strings have their anchors at equal offsets, so two
-occurrences always meet at a pair of anchors with equal K bytes.  About one
-position in 185 is an anchor.
+occurrences always meet at a pair of anchors with equal k units.  About one
+position in 185 bytes or 22 words is an anchor.
 
-1. Anchors of every text: hash of the K bytes, and hash of the context (the bytes
-   of all LENGTH-byte strings that have this very position as their anchor; they start side by side).
+1. Anchors of every text: hash of the k units, and hash of the context (the units
+   of all strings that have this very position as their anchor; they start side by side).
    Each string belongs to one anchor.
-2. Anchors whose K bytes occur once are dropped.  Where all contexts are equal
+2. Anchors whose k units occur once are dropped.  Where all contexts are equal
    every string around them repeats.  Only contexts that differ are compared.
 3. The contexts of a group are put in suffix-array order by deep-shallow sorting:
    multikey quicksort down to ``SHALLOW`` bytes, then a blind trie for what still
    agrees; both give the longest common prefixes (LCPs) of neighbours.  The
-   reversed left contexts are ordered alike.  A string that starts ``a`` bytes before the anchor
-   repeats if another member shares its run of LCP >= LENGTH - a on the right and
+   reversed left contexts are ordered alike.  A string that starts ``a`` units before the anchor
+   repeats if another member shares its run of LCP >= length - a on the right and
    >= a on the left.
 4. Groups of more than ``GROUP`` different contexts are not gathered: a hash of each string around
    the anchors is counted over all tasks instead, with the same result.
 
 Null text is empty.  Rows are told apart by doc_id and a hash of the text, so equal
-rows are occurrences of their own, each.
+rows are occurrences of their own, each.  Input columns are carried along whatever their names,
+but for those that have the name of a column made here: these give way.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import bytes_of, materialize, mix64, slices
+from gridwright.llm.common import bytes_of, fresh, materialize, mix64, scan_words, slices
+
+
+class Unit(NamedTuple):
+    """What passages are counted in."""
 
-LENGTH = 400
-K = 32
+    length: int  # units of the shortest passage
+    k: int  # units whose hash chooses the anchors; a power of two
+    width: int  # bytes of a unit where passages are sorted
+
+
+BYTES = Unit(400, 32, 1)
+WORDS = Unit(51, 8, 8)
 SHALLOW = 96
-GROUP = 20_000
+GROUP = 2_000
 SEGMENT = 1_000_000
 _U = np.uint64
 _POS = _U((1 << 24) - 1)
@@ -48,26 +63,38 @@ _VALUES = np.random.default_rng(4711).integers(1, 2**63, 256, dtype=np.uint64)
 
 
 # ------------------------------------------------------------------ anchors
-def _segment_anchors(raw: bytes, ends: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(position, 64-bit hash, fewest and most bytes before it) of the anchors in ``raw``, texts at starts:ends."""
-    buf = np.frombuffer(raw, np.uint8)
-    if len(buf) < length:
+def coded(texts: list[bytes], unit: Unit) -> list[bytes]:
+    """The units of each text, ``unit.width`` bytes each."""
+    if unit.width == 1:
+        return texts
+    out = []
+    for lo, hi in slices(texts):
+        _, _, h, offsets, _ = scan_words(texts[lo:hi], by_space=True)
+        raw, ends = h.tobytes(), (offsets * 8).tolist()
+        out += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+    return out
+
+
+def _segment_anchors(values: np.ndarray, ends: np.ndarray, starts: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
+    """(position, 64-bit hash, fewest and most units before it) of the anchors in ``values``, texts at starts:ends."""
+    length = unit.length
+    if len(values) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, step = _VALUES[buf], 1
-    while step < K:
+    h, step = values, 1
+    while step < unit.k:
         h = h[:-step] * _U(0x9E3779B97F4A7C15 + 2 * step) + h[step:]
         step *= 2
     h = mix64(h)
-    width = length - K + 1
+    width = length - unit.k + 1
     key = (h & ~_POS) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-(len(key) + width) // width) * width, _U(2**64 - 1))
     padded[: len(key)] = key
     blocks = padded.reshape(-1, width)
     before = np.minimum.accumulate(blocks, axis=1).reshape(-1)
     after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    n = len(buf) - length + 1
+    n = len(values) - length + 1
     best = (np.minimum(after[:n], before[width - 1 : width - 1 + n]) & _POS).astype(np.int64)
-    inside = np.zeros(len(buf) + 1, np.int8)
+    inside = np.zeros(len(values) + 1, np.int64)
     ok = ends - starts >= length
     np.add.at(inside, starts[ok], 1)
     np.add.at(inside, ends[ok] - length + 1, -1)
@@ -82,29 +109,32 @@ def _segment_anchors(raw: bytes, ends: np.ndarray, starts: np.ndarray, length: i
     return pos, h[pos], pos - start[last], pos - start[first]
 
 
-def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, position, hash, context hash, fewest, most bytes of a string before the anchor) of every anchor."""
+def anchors(texts: list[bytes], unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """(text, position, hash, context hash, fewest, most units of a string before the anchor) of every anchor; ``texts`` are coded."""
     rows = []
     digest = xxhash.xxh3_64_intdigest
-    for lo, hi in slices(texts, SEGMENT):
+    w, length = unit.width, unit.length
+    values = (lambda raw: _VALUES[np.frombuffer(raw, np.uint8)]) if w == 1 else lambda raw: np.frombuffer(raw, np.uint64)
+    for lo, hi in slices(texts, SEGMENT * w):
         part = texts[lo:hi]
-        if hi - lo == 1 and len(part[0]) > 2 * SEGMENT:
+        if hi - lo == 1 and len(part[0]) > 2 * SEGMENT * w:
             # strings that start in different segments may share an anchor: it is listed for each
-            raw, starts, ends, found = part[0], np.array([0]), np.array([len(part[0])]), []
-            for at in range(0, len(raw), SEGMENT):
-                piece = raw[at : at + SEGMENT + length - 1]
-                pos, *more = _segment_anchors(piece, np.array([len(piece)]), np.array([0]), length)
+            raw, starts, ends, found = part[0], np.array([0]), np.array([len(part[0]) // w]), []
+            for at in range(0, len(raw) // w, SEGMENT):
+                piece = raw[at * w : (at + SEGMENT + length - 1) * w]
+                pos, *more = _segment_anchors(values(piece), np.array([len(piece) // w]), np.array([0]), unit)
                 found.append((pos + at, *more))
             pos, h, low, high = (np.concatenate(x) for x in zip(*found, strict=True))
         else:
             raw = b"".join(part)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
-            starts = ends - np.fromiter(map(len, part), np.int64, len(part))
-            pos, h, low, high = _segment_anchors(raw, ends, starts, length)
+            sizes = np.fromiter(map(len, part), np.int64, len(part)) // w
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            pos, h, low, high = _segment_anchors(values(raw), ends, starts, unit)
         if not len(pos):
             continue
         who = np.searchsorted(ends, pos, "right")
-        around = zip((pos - high).tolist(), (pos - low + length).tolist(), high.tolist(), strict=True)
+        around = zip(((pos - high) * w).tolist(), ((pos - low + length) * w).tolist(), high.tolist(), strict=True)
         c = np.fromiter((digest(raw[x:y], a) for x, y, a in around), np.uint64, len(pos))
         rows.append((who + lo, pos - starts[who], h, c, low, high))
     if not rows:
@@ -222,19 +252,14 @@ def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndarr
     return np.array(order, np.int64), np.array(lcps, np.int64)
 
 
-def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest and largest ``a`` (bytes before the anchor) of a string that another member has, too; -1: none.
+def repeats(lefts: list[bytes], rights: list[bytes], unit: Unit = BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest and largest ``a`` (units before the anchor) of a string that another member has, too; -1: none.
 
     ``lefts`` are read backwards from the anchor.  Both end where the member's strings end.
     """
-    n = len(lefts)
+    n, length = len(lefts), unit.length
     low, high = np.full(n, -1), np.full(n, -1)
-    if n == 2:
-        a, r = common(*lefts), common(*rights)
-        if a + r >= length:
-            low[:], high[:] = length - r, a
-        return low, high
-    orders = [deep_shallow(x) for x in (rights, lefts)]
+    orders = [(order, lcp // unit.width) for order, lcp in map(deep_shallow, (rights, lefts))]
     (by_right, right), (by_left, left) = orders
     if n <= 48:
         share = []
@@ -249,7 +274,7 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tu
         low[some] = np.where(ok, length - r, length).min(1)[some]
         high[some] = np.where(ok, a, -1).max(1)[some]
         return low, high
-    for a in range(length - max(map(len, rights)), max(map(len, lefts)) + 1):
+    for a in range(length - max(map(len, rights)) // unit.width, max(map(len, lefts)) // unit.width + 1):
         group = np.empty(n, np.int64)
         group[by_right] = np.cumsum(right < length - a)
         own = np.empty(n, np.int64)
@@ -272,12 +297,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
+def _anchor_rows(docs: DataFrame, unit: Unit) -> DataFrame:
     """Anchors of every text; those of a text that agree in hash and context are one row, with all positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, pos, h, c, low, high = anchors(bytes_of(b), length)
+            who, pos, h, c, low, high = anchors(coded(bytes_of(b), unit), unit)
             if not len(who):
                 continue
             order = np.lexsort((pos, c, h, who))
@@ -293,17 +318,18 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("doc_id", "tk", "text").mapInArrow(run, _ANCHOR)
 
 
-def _contexts(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
-    """(h, c, n, large, high, context): the bytes of all strings around each representative."""
+def _contexts(docs: DataFrame, reps: DataFrame, unit: Unit) -> DataFrame:
+    """(h, c, n, large, high, context): the units of all strings around each representative."""
+    w, length = unit.width, unit.length
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("large", pa.bool_()), ("high", pa.int32()), ("context", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, at in zip(bytes_of(b), b.column(b.schema.get_field_index("at")).to_pylist(), strict=True):
+            for text, at in zip(coded(bytes_of(b), unit), b.column(b.schema.get_field_index("at")).to_pylist(), strict=True):
                 for x in at:
                     p = x["p"]
-                    out.append((x["h"], x["c"], x["n"], x["large"], x["high"], text[p - x["high"] : p - x["low"] + length]))
+                    out.append((x["h"], x["c"], x["n"], x["large"], x["high"], text[(p - x["high"]) * w : (p - x["low"] + length) * w]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -315,15 +341,16 @@ def _contexts(docs: DataFrame, reps: DataFrame, length: int) -> DataFrame:
 _RESULT = "h long, c long, low int, high int"
 
 
-def _compare(contexts: DataFrame, length: int) -> DataFrame:
+def _compare(contexts: DataFrame, unit: Unit) -> DataFrame:
     """(h, c, low, high) of contexts that occur once and share a string with another of their group."""
 
     def judge(group: dict[int, tuple]) -> list[tuple]:
         rows = list(group.values())
         if len(rows) < 2 or all(x[2] > 1 for x in rows):
             return []
-        lefts, rights = [x[4][: x[3]][::-1] for x in rows], [x[4][x[3] :] for x in rows]  # x[3]: bytes before the anchor
-        low, high = repeats(lefts, rights, length)
+        before = [x[3] * unit.width for x in rows]  # bytes before the anchor
+        lefts, rights = [x[4][:a][::-1] for x, a in zip(rows, before, strict=True)], [x[4][a:] for x, a in zip(rows, before, strict=True)]
+        low, high = repeats(lefts, rights, unit)
         return [(x[0], x[1], int(a), int(b)) for x, a, b in zip(rows, low, high, strict=True) if a >= 0 and x[2] == 1]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -348,22 +375,23 @@ def _compare(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("h", "c", "n", "high", "context").repartition("h").sortWithinPartitions("h").mapInArrow(run, _RESULT)
 
 
-def _count_strings(contexts: DataFrame, length: int) -> DataFrame:
+def _count_strings(contexts: DataFrame, unit: Unit) -> DataFrame:
     """As ``_compare``, for groups of any size: counts a 128-bit hash of every string around the anchors.
 
     A string has one anchor, so there is a row for each string and none for a pair.
     """
+    w, length = unit.width, unit.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, c, n, a, s = [], [], [], [], []
             for i, j, k, high, context in zip(*(b.column(x).to_pylist() for x in range(5)), strict=True):
-                many = len(context) - length + 1
+                many = len(context) // w - length + 1
                 h += [i] * many
                 c += [j] * many
                 n += [k] * many
                 a += range(high, high - many, -1)
-                s += [xxhash.xxh3_128_digest(context[x : x + length]) for x in range(many)]
+                s += [xxhash.xxh3_128_digest(context[x * w : (x + length) * w]) for x in range(many)]
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.int32()), pa.array(s, pa.binary())], names=["h", "c", "n", "a", "s"])
 
     own = contexts.dropDuplicates(["h", "c"]).select("h", "c", "n", "high", "context")
@@ -373,13 +401,13 @@ def _count_strings(contexts: DataFrame, length: int) -> DataFrame:
     return hit.groupBy("h", "c").agg(F.min("a").cast("int").alias("low"), F.max("a").cast("int").alias("high"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, tk, spans): the repeated strings, as byte ranges; texts without any are left out.
+def repeated_spans(docs: DataFrame, unit: Unit = BYTES, group: int = GROUP) -> DataFrame:
+    """(doc_id, tk, spans): the repeated strings, as ranges of units; texts without any are left out.
 
     What is joined back is stored first, so that both sides of each join are plain
     shuffles, whose hot partitions Spark can split.
     """
-    found = materialize(_anchor_rows(docs, length), "anchors")
+    found = materialize(_anchor_rows(docs, unit), "anchors")
     by_h = found.groupBy("h").agg(F.sum(F.size("pos")).alias("n"), (F.min("c") != F.max("c")).alias("differ")).where("n > 1")
     kept = materialize(found.join(materialize(by_h.select("h", "differ"), "hashes"), "h"), "shared")
     differ = kept.where("differ")
@@ -394,15 +422,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, group: int = GROUP) ->
     )
     large = materialize(classes.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > group).select("h", F.lit(True).alias("large")), "large")
     reps = classes.join(large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    contexts = materialize(_contexts(docs, reps, length), "contexts")
-    judged = _compare(contexts.where("NOT large"), length)
+    contexts = materialize(_contexts(docs, reps, unit), "contexts")
+    judged = _compare(contexts.where("NOT large"), unit)
     if large.limit(1).count():
-        judged = judged.unionByName(_count_strings(contexts.where("large"), length))
+        judged = judged.unionByName(_count_strings(contexts.where("large"), unit))
     judged = materialize(judged.unionByName(classes.where("n > 1").select("h", "c", "low", "high")), "judged")
     # all contexts equal: every string around the anchor repeats
     alike = kept.where("NOT differ").select("doc_id", "tk", "pos", "low", "high")
     other = differ.drop("low", "high").join(judged, ["h", "c"]).select("doc_id", "tk", "pos", "low", "high")
-    spans = F.transform("pos", lambda p: F.struct((p - F.col("high")).alias("start"), (p - F.col("low") + length).alias("end")))
+    spans = F.transform("pos", lambda p: F.struct((p - F.col("high")).alias("start"), (p - F.col("low") + unit.length).alias("end")))
     every = alike.unionByName(other).select("doc_id", "tk", spans.alias("spans"))
     return every.groupBy("doc_id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -418,25 +446,35 @@ def union_spans(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = False, group: int = GROUP) -> DataFrame:
+def in_bytes(text: bytes, runs: list[tuple[int, int]], unit: Unit) -> list[tuple[int, int]]:
+    """Runs of units as runs of bytes; white space after a run of words belongs to it."""
+    if unit.width == 1 or not runs:
+        return runs
+    starts = [*scan_words([text], by_space=True)[0].tolist(), len(text)]
+    return [(starts[lo], starts[hi]) for lo, hi in runs]
+
+
+def remove_repeats(docs: DataFrame, unit: Unit = BYTES, keep_text: bool = False, group: int = GROUP) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` its text is what is left (null stays null).
 
     What is left is cut at bytes; characters that a cut goes through are dropped from the text.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    own = [f for f in docs.schema.fields if f.name not in (*names, "tk", "spans")]
-    docs = docs.select(*[f"`{f.name}`" for f in own]).withColumn("tk", F.xxhash64("text"))
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "tk", "text"), length, group)
-    on = [docs["doc_id"].eqNullSafe(spans["doc_id"]), docs["tk"] == spans["tk"]]
-    both = docs.join(spans, on, "left").select(*[docs[f"`{f.name}`"] for f in own], spans["spans"])
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    own = docs.schema.fields
+    tk, found_in = fresh(docs, "tk", "spans")
+    docs = docs.withColumn(tk, F.xxhash64("text"))
+    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tk).alias("tk"), "text"), unit, group)
+    on = [docs["doc_id"].eqNullSafe(spans["doc_id"]), docs[tk] == spans["tk"]]
+    both = docs.join(spans, on, "left").select(*[docs[f"`{f.name}`"] for f in own], spans["spans"].alias(found_in))
     out = [f for f in own if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = {k: [] for k in (*names, "text")}
             whole = b.column(b.schema.get_field_index("text"))
-            for text, none, found in zip(bytes_of(b), whole.is_null().to_pylist(), b.column(b.schema.get_field_index("spans")).to_pylist(), strict=True):
-                runs = union_spans(found)
+            for text, none, found in zip(bytes_of(b), whole.is_null().to_pylist(), b.column(b.schema.get_field_index(found_in)).to_pylist(), strict=True):
+                runs = in_bytes(text, union_spans(found), unit)
                 at, kept = 0, []
                 for lo, hi in runs:
                     kept.append(text[at:lo])

@@ -167,7 +167,76 @@ def test_repeated_passages(spark, group):
     rows = passage_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = passages.remove_repeats(df, group=group).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, passages.LENGTH)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, passages.BYTES.length)
+
+
+def brute_word_repeats(rows, length=51):
+    seen, spans = Counter(), []
+    for _, t in rows:
+        spans.append([m.span() for m in re.finditer(rb"[^ \t\n\v\f\r]+", (t or "").encode())])
+        w = [(t or "").encode()[a:b] for a, b in spans[-1]]
+        seen.update(tuple(w[k : k + length]) for k in range(len(w) - length + 1))
+    out = []
+    for (doc, t), at in zip(rows, spans, strict=True):
+        raw = (t or "").encode()
+        w = [raw[a:b] for a, b in at]
+        gone = set()
+        for k in range(len(w) - length + 1):
+            if seen[tuple(w[k : k + length])] > 1:
+                gone.update(range(k, k + length))
+        starts = [a for a, _ in at] + [len(raw)]
+        cut = np.zeros(len(raw), bool)
+        for k in gone:
+            cut[starts[k] : starts[k + 1]] = True
+        kept = bytes(np.frombuffer(raw, np.uint8)[~cut]) if raw else b""
+        runs = sum(k - 1 not in gone for k in gone)
+        out.append((str(doc), len(raw), int(cut.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def word_passage_rows():
+    """Common passages of 40 to 60 words, some under 400 bytes, with odd white space, at changing places."""
+    rng = random.Random(18)
+    rows = []
+    for k, n in enumerate([40, 49, 50, 51, 52, 60, 60]):
+        common = " ".join(rng.choice(["a", "of", "the", "word", "other"]) + str(rng.randrange(9)) for _ in range(n))
+        rows += [(10 * k + i, words(rng, rng.randint(0, 70)) + rng.choice([" ", "\n\t", "  "]) + common.replace(" ", "  " if i == 2 else " ") + "\u00a0\n" * (i % 2) + " " + words(rng, rng.randint(0, 9))) for i in range(4)]
+    rows += [(100 + i, words(rng, 12) + " on" * (40 + i) + " " + words(rng, 12)) for i in range(30)]
+    return rows + [(200, None), (201, ""), (202, " \n "), (203, rows[30][1]), (204, "\u00e9" * 900)]
+
+
+@pytest.mark.parametrize("group", [3, passages.GROUP])
+def test_repeated_passages_of_words(spark, group):
+    rows = word_passage_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = passages.remove_repeats(df, passages.WORDS, group=group).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_word_repeats(rows)
+
+
+@pytest.mark.parametrize("unit", [passages.BYTES, passages.WORDS])
+def test_passages_of_a_very_long_text(spark, monkeypatch, unit):
+    """Texts of more than two segments are cut into segments, which changes nothing."""
+    rng = random.Random(28)
+    common = words(rng, 120)
+    rows = [(0, words(rng, 3000) + " " + common + " " + words(rng, 2000)), (1, common), (2, "x " * 3000), (3, words(rng, 900) + common[:700])]
+    monkeypatch.setattr(passages, "SEGMENT", 1000)
+    raw = passages.coded([t.encode() for _, t in rows], unit)
+    cut = passages.anchors(raw, unit)
+    monkeypatch.setattr(passages, "SEGMENT", 10**6)
+    whole = passages.anchors(raw, unit)
+    assert set(zip(cut[0].tolist(), cut[1].tolist(), strict=True)) == set(zip(whole[0].tolist(), whole[1].tolist(), strict=True))
+    covered = [set() for _ in range(2)]
+    for got, out in zip((cut, whole), covered, strict=True):
+        for who, pos, _, _, low, high in zip(*(x.tolist() for x in got), strict=True):
+            out.update((who, pos - a) for a in range(low, high + 1))
+    assert covered[0] == covered[1] == {(i, k) for i, t in enumerate(raw) for k in range(len(t) // unit.width - unit.length + 1)}
+
+
+def test_passages_carry_columns_of_any_name(spark):
+    rows = [(i, "same words again " * 60, "x", "y", 5, 6.5) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tk string, spans string, n_bytes int, SPANS_ double")
+    got = passages.remove_repeats(df).collect()
+    assert [(r.tk, r.spans, r["SPANS_"], r.n_bytes, r.n_removed) for r in got] == [("x", "y", 6.5, 1020, 1020)] * 2
 
 
 def test_passages_of_odd_rows(spark, docs, no_docs):
@@ -175,7 +244,7 @@ def test_passages_of_odd_rows(spark, docs, no_docs):
     got = passages.remove_repeats(docs, keep_text=True)
     assert set(docs.columns) <= set(got.columns)
     found = got.collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_repeats(rows, passages.LENGTH)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == brute_repeats(rows, passages.BYTES.length)
     assert sum(r.text is None for r in found) == sum(t is None for _, t in rows)
     assert passages.remove_repeats(no_docs).count() == 0
 
