@@ -23,7 +23,7 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,7 +147,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 4, epochs: int = 6
     bias = 0.0
     index: dict[str, int] = {PAD: 0}
     docs = [np.array([index.setdefault(w, len(index)) for w in words_of(x)], np.int32) for x in texts]
-    docs, labels = [d for d in docs if len(d)], labels[[len(d) > 0 for d in docs]].astype(float)
+    some = np.array([len(d) > 0 for d in docs], bool)
+    docs, labels = [d for d in docs if len(d)], labels[some].astype(float)
     if not len(docs) or labels.min() == labels.max():
         return Model(np.zeros((BUCKETS, DIM)), np.zeros((2, DIM)), -60.0)
     bucket, n = features(list(index))
@@ -226,24 +227,34 @@ class Scorer:
         return _sigmoid(out)
 
 
+def within_budget(rows: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The (doc_id, toxic, text) rows that MAX_TRAIN_WORDS words of each label hold, taken as they come; in order of doc_id."""
+    kept, left = [], {}
+    for doc, toxic, text in rows:
+        n = sum(1 for _ in _WORD.finditer(text.lower()))  # as words_of counts
+        if n <= left.setdefault(toxic, MAX_TRAIN_WORDS):
+            kept.append((doc, toxic, text))
+            left[toxic] -= n
+    return sorted(kept)
+
+
 def fit(labelled: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Learn from (doc_id, text, toxic) rows; at most so many of each label reach the driver."""
+    """Learn from (doc_id, text, toxic) rows; at most so many of each label, in one task.  The driver sees the model only."""
     keyed = labelled.where("toxic IS NOT NULL").select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"))
     chosen = None
     for toxic, most in ((1, max_toxic), (0, max_clean)):
         part = keyed.where(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text", "toxic")
-    rows = rows.where("toxic IS NOT NULL").orderBy(F.xxhash64(F.lit("order"), "doc_id"), "toxic", "text")
-    kept, left = [], {}
-    for r in rows.toLocalIterator():
-        text = r.text or ""
-        n = sum(1 for _ in _WORD.finditer(text.lower()))  # as words_of counts
-        if n <= left.setdefault(r.toxic, MAX_TRAIN_WORDS):
-            kept.append((r.doc_id, r.toxic, text))
-            left[r.toxic] -= n
-    kept.sort()
-    return train([r[2] for r in kept], np.array([r[1] for r in kept], int) if kept else np.zeros(0, int))
+    rows = labelled.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").where("toxic IS NOT NULL")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), "text", F.xxhash64(F.lit("order"), "doc_id").alias("place"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = within_budget(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b), strict=True))
+        model = train([x[2] for x in kept], np.array([x[1] for x in kept], int))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps((model.vectors, model.weights, model.bias))]})
+
+    found = rows.repartition(1).sortWithinPartitions("place", "toxic", "text").mapInArrow(run, "model binary").collect()  # one row
+    return Model(*pickle.loads(found[0].model)) if found else train([], np.zeros(0, int))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:
