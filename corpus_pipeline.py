@@ -7,8 +7,8 @@ columns those are: only doc_id and text are looked at, the rest is carried.
 - toxicity drops the documents that the classifier rejects (fitted on the labelled
   documents that are there, without the held-out third);
 - the n-gram Jaccard join keeps one document of each group of near duplicates;
-- suffix-array dedup cuts every passage of 400 bytes or more that occurs again out of
-  the texts (n_chars follows); characters that a cut goes through go as well;
+- suffix-array dedup cuts every passage of more than 50 words that occurs again out of
+  the texts, all its occurrences (n_chars follows);
 - benchmark decontamination drops the contaminated documents and leaves the others as they are;
 - encoding returns (doc_id, n_tokens, ids_sha256, decoded_sha256).
 
@@ -48,7 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plain, back = _plain(docs)
-    cut = back(passages.remove_repeats(plain, keep_text=True))
+    cut = back(passages.remove_repeats(plain, passages.WORDS, keep_text=True))
     if "n_chars" in cut.columns:
         kind = dict(cut.dtypes)["n_chars"]
         cut = cut.withColumn("n_chars", F.char_length("text").cast(kind))
