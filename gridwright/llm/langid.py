@@ -4,10 +4,10 @@ Over the pieces of a fixed public vocabulary each language has a probability for
 each piece.  A word's likelihood is the sum over all of its segmentations into
 pieces, which a forward pass gives; a text's is the product over its words.  The
 probabilities are fitted by expectation maximisation (forward and backward) on
-word counts of a bounded sample of labelled documents.
+the counts of all words of about ``MAX_DOCS`` labelled documents a language, each language in a task of its own.
 
-Words are runs of letters in lower case, after a mark for the word's start; runs of
-more than ``BLOCK`` letters are taken in blocks of that length.  Letters outside the vocabulary have a
+Words are runs of letters in lower case, of any length, after a mark for the word's start.  Words
+of more than ``LONG`` letters are read one by one with logarithms of the last few states only; the sums are the same.  Letters outside the vocabulary have a
 small fixed probability, the same for all languages.
 
 ``lang_pred`` is 'und' (score 0) for null texts, texts without letters, and
@@ -19,9 +19,11 @@ from __future__ import annotations
 import pickle
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +31,9 @@ from pyspark.sql import functions as F
 from gridwright.llm.common import mix64, slices, texts_of, worker_state
 
 MAX_DOCS = 800  # labelled documents to learn from, about, for each language
-MAX_WORDS = 15_000  # most frequent distinct words of the sample, for each language
 ROUNDS = 3
-MAX_PIECE = 16  # letters of the longest piece used, with the start mark
-BLOCK = 40
+LONG = 64
+CELLS = 200_000  # letters of the words that are looked at together
 CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -46,20 +47,13 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(words: list[str]) -> list[str]:
-    """``words`` with those of more than BLOCK letters cut into blocks; nothing is left out."""
-    if max(map(len, words), default=0) <= BLOCK:
-        return words
-    return [w[i : i + BLOCK] for w in words for i in range(0, len(w), BLOCK)]
-
-
 def vocabulary(path: str) -> list[str]:
     """Pieces of letters in lower case, with or without the start mark."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i) for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    kept = {p for p in pieces if len(p) <= MAX_PIECE and re.fullmatch(rf"{_START}?[^\W\d_]*", p) and p == p.lower() and p}
+    kept = {p for p in pieces if re.fullmatch(rf"{_START}?[^\W\d_]*", p) and p == p.lower() and p}
     return sorted(kept | {_START})
 
 
@@ -114,6 +108,53 @@ class Lattice:
             out.append(here)
         return out, lens
 
+    def steps(self, word: str, block: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each end position in one word, however long, the lengths and pieces (-1: an unknown letter) there."""
+        flat = np.frombuffer((_START + word).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for lo in range(0, len(flat), block):
+            back = min(lo, self.longest - 1)
+            m = flat[lo - back : lo + block]
+            n = len(m) - back
+            h = np.zeros(n, np.uint64)
+            found = []
+            for size in range(1, self.longest + 1):
+                first = max(0, size - 1 - back)  # earlier ones would begin before the word
+                if first >= n:
+                    break
+                h[first:] += m[back + first - size + 1 : back + n - size + 1] * _U(pow(int(_A), size - 1, 2**64))
+                key = mix64(h[first:] + _U(size * 0xA0761D6478BD642F % 2**64))
+                maybe = np.flatnonzero(self.seen[(key >> _U(42)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+                same = self.keys[at] == key[maybe]
+                ends, ids = maybe[same] + first, self.numbers[at[same]]
+                if size == 1:
+                    other = np.setdiff1d(np.arange(n), ends)
+                    ends, ids = np.concatenate([ends, other]), np.concatenate([ids, np.full(len(other), -1)])
+                found.append((ends, np.full(len(ends), size), ids))
+            ends, sizes, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(ends, kind="stable")
+            sizes, ids = sizes[order], ids[order]
+            edges = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
+            for i, j in zip(edges, edges[1:], strict=False):
+                yield sizes[i:j], ids[i:j]
+
+
+def log_sum(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(x) over the rows."""
+    top = x.max(0)
+    return top + np.log(np.exp(x - top).sum(0))
+
+
+def batches_of(words: list[str]) -> Iterator[np.ndarray]:
+    """Numbers of the words of up to LONG letters, those of like length together, about CELLS letters at a time."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(sizes, kind="stable")
+    order = order[: np.searchsorted(sizes[order], LONG, "right")]
+    while len(order):
+        n = max(1, CELLS // (int(sizes[order[min(len(order), 4000) - 1]]) + 1))
+        yield order[: min(n, 4000)]
+        order = order[min(n, 4000) :]
+
 
 def forward(edges, lens: np.ndarray, prob: np.ndarray) -> np.ndarray:
     """alpha[word, letters read, language], each letter scaled by _SCALE; ``prob``'s last row: unknown."""
@@ -129,11 +170,8 @@ def fit_one(lattice: Lattice, n_pieces: int, words: list[str], counts: np.ndarra
     """Piece probabilities of one language by expectation maximisation over all segmentations."""
     prob = np.full((n_pieces + 1, 1), 1.0 / n_pieces)
     prob[-1] = _UNKNOWN
-    order = np.argsort([len(w) for w in words], kind="stable")
-    groups = []
-    for lo in range(0, len(order), 4000):
-        part = order[lo : lo + 4000]
-        groups.append((*lattice.edges([words[i] for i in part]), counts[part]))
+    groups = [(*lattice.edges([words[i] for i in part]), counts[part]) for part in batches_of(words)]
+    long = [(w, n) for w, n in zip(words, counts.tolist(), strict=True) if len(w) > LONG]
     for _ in range(rounds):
         total = np.zeros(n_pieces + 1)
         for edges, lens, n in groups:
@@ -141,33 +179,66 @@ def fit_one(lattice: Lattice, n_pieces: int, words: list[str], counts: np.ndarra
             beta = np.zeros_like(alpha)
             beta[lens, np.arange(len(lens))] = 1.0
             whole = alpha[lens, np.arange(len(lens))]
+            seen, shares = [], []
             for t in range(len(edges) - 1, -1, -1):
                 for size, rows, ids in edges[t]:
                     step = beta[t + 1, rows] * prob[ids, 0] * _SCALE**size
-                    share = alpha[t + 1 - size, rows] * step * n[rows] / whole[rows]
-                    np.add.at(total, ids, share)
+                    shares.append(alpha[t + 1 - size, rows] * step * n[rows] / whole[rows])
+                    seen.append(ids)
                     beta[t + 1 - size, rows] += step
+            total += np.bincount(np.concatenate(seen) % (n_pieces + 1), np.concatenate(shares), n_pieces + 1)
+        for word, n in long:
+            total += n * expected(lattice, word, np.log(prob[:, 0]))
         total = total[:-1] + 0.01
         prob[:-1, 0] = total / total.sum()
     return prob[:, 0]
 
 
+def expected(lattice: Lattice, word: str, log_prob: np.ndarray) -> np.ndarray:
+    """Expected number of uses of each piece over all segmentations of one word (last: unknown letters)."""
+    steps = list(lattice.steps(word))
+    alpha, beta = np.full(len(steps) + 1, -np.inf), np.full(len(steps) + 1, -np.inf)
+    alpha[0] = beta[-1] = 0.0
+    for t, (sizes, ids) in enumerate(steps, 1):
+        alpha[t] = log_sum(alpha[t - sizes] + log_prob[ids])
+    out = np.zeros(len(log_prob))
+    for t in range(len(steps), 0, -1):
+        sizes, ids = steps[t - 1]
+        step = beta[t] + log_prob[ids]
+        out[ids] += np.exp(alpha[t - sizes] + step - alpha[-1])  # a piece ends at a position once
+        beta[t - sizes] = np.logaddexp(beta[t - sizes], step)  # so does each length
+    return out
+
+
 class Model:
     def __init__(self, langs: list[str], pieces: list[str], prob: np.ndarray):
         self.langs, self.pieces, self.prob = langs, pieces, prob
         self.lattice = Lattice(pieces)
+        self.log = np.log(prob)
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log likelihood of each word in each language."""
         out = np.empty((len(words), len(self.langs)))
-        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        for lo in range(0, len(order), 4000):
-            part = order[lo : lo + 4000]
+        for part in batches_of(words):
             edges, lens = self.lattice.edges([words[i] for i in part])
             alpha = forward(edges, lens, self.prob)
             out[part] = np.log(alpha[lens, np.arange(len(lens))]) - lens[:, None] * np.log(_SCALE)
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.score_long(w)
         return out
 
+    def score_long(self, word: str) -> np.ndarray:
+        """As ``score_words``, for one word: a ring of as many states as the longest piece has letters."""
+        size = self.lattice.longest + 1
+        ring = np.full((size, len(self.langs)), -np.inf)
+        ring[0] = 0.0
+        t = 0
+        for sizes, ids in self.lattice.steps(word):
+            t += 1
+            ring[t % size] = log_sum(ring[(t - sizes) % size] + self.log[ids])
+        return ring[t % size]
+
 
 class Scorer:
     """Scores texts through a bounded table of words."""
@@ -183,7 +254,9 @@ class Scorer:
     def __call__(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if len(self.index) > self.size:
             self._clear()
-        words = [blocks_of(words_of(x)) for x in texts]
+        every = [words_of(x) for x in texts]
+        long = [[w for w in ws if len(w) > LONG] for ws in every]  # aren't kept
+        words = [[w for w in ws if len(w) <= LONG] if some else ws for ws, some in zip(every, long, strict=True)]
         index = self.index
         had = len(index)
         for ws in words:
@@ -196,20 +269,22 @@ class Scorer:
             new = list(index)[had:]
             self.table[had : len(index)] = self.model.score_words(new)
         langs, scores = [], []
-        for ws in words:
-            if not ws or not self.model.langs:
+        for ws, some in zip(words, long, strict=True):
+            if not (ws or some) or not self.model.langs:
                 langs.append("und")
                 scores.append(0.0)
                 continue
             total = self.table[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(0)
+            for w, n in Counter(some).items():
+                total = total + n * self.model.score_long(w)
             best = int(total.argmax())
             langs.append(self.model.langs[best])
             scores.append(float(1.0 / np.exp(total - total[best]).sum()))
         return langs, scores
 
 
-def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> Model:
-    """Learn from (text, lang) rows: about ``max_docs`` documents and ``max_words`` words for each language."""
+def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = MAX_DOCS) -> Model:
+    """Learn from (text, lang) rows: all words of about ``max_docs`` documents of each language."""
     counted = {r.lang: r["count"] for r in labelled.where("lang IS NOT NULL").groupBy("lang").count().collect()}
     langs = sorted(counted)
     if not langs:
@@ -218,25 +293,28 @@ def fit(labelled: DataFrame, vocabulary_path: str, max_docs: int = MAX_DOCS, max
     sample = labelled.select("lang", "text").sampleBy("lang", share, seed=11)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], int] = {}
+        seen: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), texts_of(b), strict=True):
-                for w in blocks_of(words_of(text)):
-                    seen[lang, w] = seen.get((lang, w), 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            names=["lang", "word", "n"],
-        )
-
-    counts = sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+                seen.setdefault(lang, Counter()).update(words_of(text))
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(seen, pa.string()), "words": pa.array(map(list, seen.values()), pa.list_(pa.string())), "n": pa.array([list(x.values()) for x in seen.values()], pa.list_(pa.int64()))})
+
     pieces = vocabulary(vocabulary_path)
-    lattice, columns = Lattice(pieces), []
-    for lang in langs:
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(max_words).collect()
-        columns.append(fit_one(lattice, len(pieces), [r.word for r in top], np.array([r.n for r in top], float)) if top else np.full(len(pieces) + 1, 1.0 / len(pieces)))
-    counts.unpersist()
-    prob = np.stack(columns, 1)
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        seen: Counter = Counter()
+        for words, n in zip(rows["words"], rows["n"], strict=True):
+            for w, k in zip(words, n, strict=True):
+                seen[w] += int(k)
+        words = sorted(seen)
+        prob = fit_one(Lattice(pieces), len(pieces), words, np.array([seen[w] for w in words], float)) if words else np.full(len(pieces) + 1, 1.0 / len(pieces))
+        return pd.DataFrame({"lang": [rows["lang"].iloc[0]], "prob": [prob.tobytes()]})
+
+    # a task's words of a language are one row, and a language's rows hold the sampled documents' words
+    counts = sample.mapInArrow(tally, "lang string, words array<string>, n array<bigint>")
+    found = {r.lang: np.frombuffer(r.prob) for r in counts.groupBy("lang").applyInPandas(learn, "lang string, prob binary").collect()}  # a row for each language
+    uniform = np.full(len(pieces) + 1, 1.0 / len(pieces))  # no document of a language was drawn
+    prob = np.stack([found.get(k, uniform) for k in langs], 1)
     mean = prob[:-1].mean(1, keepdims=True)
     prob[:-1] = 0.98 * prob[:-1] + 0.02 * mean  # no piece is impossible in a language
     prob[-1] = _UNKNOWN

@@ -84,13 +84,10 @@ def test_every_window_counts_each_of_its_words_once():
             assert mean == pytest.approx(shares[held].sum() / sizes[held].sum(), rel=1e-9)
 
 
-def test_training_words_are_bounded_for_each_label(spark, monkeypatch):
-    taken = []
+def test_training_words_are_bounded_for_each_label(monkeypatch):
     monkeypatch.setattr(toxicity, "MAX_TRAIN_WORDS", 200)
-    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.extend(zip(texts, labels.tolist(), strict=True)))
-    rows = [(i, "\t".join(["long"] * 500), 1) for i in range(3)] + [(10 + i, "\n".join([f"w{i}"] * 30), i % 2) for i in range(12)]
-    toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
-    assert sorted(taken) == sorted((t, y) for _, t, y in rows[3:])
+    rows = [(i, 1, "\t".join(["long"] * 500)) for i in range(3)] + [(10 + i, i % 2, "\n".join([f"w{i}"] * 30)) for i in range(12)]
+    assert toxicity.within_budget(rows) == rows[3:]
 
 
 # ------------------------------------------------------------------ languages
@@ -109,7 +106,7 @@ def language_rows(n, seed):
 @pytest.fixture(scope="module")
 def language_model(spark):
     rows = language_rows(200, 1) + [(900, "no label here", None), (901, None, "aa")]
-    return langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path("piece_bpe_32k.model"), max_words=500)
+    return langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), path("piece_bpe_32k.model"))
 
 
 def test_languages_of_unseen_texts(spark, language_model):
@@ -130,36 +127,54 @@ def test_undetermined(spark, docs, no_docs, language_model):
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
 
 
-def test_forward_sums_all_segmentations(language_model):
-    """Against a plain recursion over pieces."""
-    model = language_model
+def brute_log_likelihood(model, word, lang):
+    """Log of the sum over all segmentations, piece by piece from the end."""
     number = {p: i for i, p in enumerate(model.pieces)}
-
-    def total(s, lang):
-        if not s:
-            return 1.0
-        out = 0.0
-        for k in range(1, min(len(s), langid.MAX_PIECE) + 1):
-            if s[:k] in number:
-                out += model.prob[number[s[:k]], lang] * total(s[k:], lang)
-            elif k == 1:
-                out += langid._UNKNOWN * total(s[1:], lang)
-        return out
-
-    some = ["the", "und", "xqz", "elle", "日本", "ß"]
-    got = model.score_words(some)
-    for i, w in enumerate(some):
-        for lang in range(len(model.langs)):
-            assert got[i, lang] == pytest.approx(np.log(total("▁" + w, lang)), rel=1e-9)
+    longest, s = max(map(len, number)), "\u2581" + word
+    ends = [0.0]
+    for t in range(1, len(s) + 1):
+        terms = [ends[t - k] + np.log(model.prob[number[s[t - k : t]], lang]) for k in range(1, min(longest, t) + 1) if s[t - k : t] in number]
+        if s[t - 1] not in number:
+            terms.append(ends[t - 1] + np.log(langid._UNKNOWN))
+        ends.append(float(np.logaddexp.reduce(terms)))
+    return ends[-1]
 
 
-def test_long_runs_are_learned_whole(spark, monkeypatch):
-    learned = []
-    fit_one = langid.fit_one
-    monkeypatch.setattr(langid, "fit_one", lambda lattice, n, words, counts: learned.extend(words) or fit_one(lattice, n, words, counts))
-    run = "ab" * 20 + "cd" * 20 + "ef"
-    langid.fit(spark.createDataFrame([(run, "aa")], "text string, lang string"), path("piece_bpe_32k.model"))
-    assert sorted(learned) == [run[:40], run[40:80], run[80:]]
+def test_forward_sums_all_segmentations(language_model):
+    rng = random.Random(5)
+    syllables = [x for v in SYLLABLES.values() for x in v] + ["q", "x", "\u00df", "\u65e5\u672c", "straight"]
+    some = ["the", "und", "xqz", "elle", "\u65e5\u672c", "\u00df", "a"]
+    some += ["".join(rng.choice(syllables) for _ in range(200))[:n] for n in [2, 17, 39, 40, 41, 63, 64, 65, 66, 100, 150, 200]]
+    got = language_model.score_words(some)
+    for i, w in enumerate(some):
+        for lang in range(len(language_model.langs)):
+            assert got[i, lang] == pytest.approx(brute_log_likelihood(language_model, w, lang), rel=1e-9), w
+
+
+def test_long_words_are_read_in_blocks_without_a_seam(language_model, monkeypatch):
+    word = "schundkeit" * 30
+    whole = [(a.tolist(), b.tolist()) for a, b in language_model.lattice.steps(word)]
+    cut = [(a.tolist(), b.tolist()) for a, b in language_model.lattice.steps(word, block=7)]
+    assert whole == cut and len(whole) == len(word) + 1
+
+
+def test_long_words_are_learned_as_short_ones_are(monkeypatch):
+    """Expectation maximisation gives the same whether a word counts as long or not."""
+    pieces = ["\u2581", "a", "b", "ab", "\u2581a", "abab", "ba"]
+    lattice, words = langid.Lattice(sorted(pieces)), ["ab" * 30, "abba" * 9, "ba", "abx" * 20]
+    counts = np.array([2.0, 1.0, 5.0, 1.0])
+    short = langid.fit_one(lattice, len(pieces), words, counts)
+    monkeypatch.setattr(langid, "LONG", 3)
+    assert langid.fit_one(lattice, len(pieces), words, counts) == pytest.approx(short, rel=1e-9)
+
+
+def test_all_words_of_the_sample_are_learned(spark):
+    """A language that differs in one run of 300 letters only is told by it."""
+    run = "zqj" * 100
+    rows = [(f"same words here {i}", lang) for i in range(20) for lang in ("aa", "bb")] + [(run, "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), path("piece_bpe_32k.model"))
+    got = langid.predict(spark.createDataFrame([(0, run[:150]), (1, run + run)], "doc_id long, text string"), model).collect()
+    assert {r.lang_pred for r in got} == {"bb"}
 
 
 def test_long_pieces_are_in_the_vocabulary():
