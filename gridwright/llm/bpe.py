@@ -7,11 +7,13 @@ are those of its words one after another.
    (about ``CHUNK_CHARS`` characters) becomes one row of word numbers, most frequent
    word first, and one row of words for each bucket of the words' hash.
 2. Buckets are dealt out.  All chunks' rows of a bucket meet in one task, which
-   encodes each distinct word once, and answers every chunk with ids in the order asked.
-3. A chunk and its answers meet (chunks are stored in buckets, so only the answers
-   are shuffled); ids take the places of word numbers.  Decoding
-   replaces ids by the vocabulary's pieces (id to piece, bounded by the
-   vocabulary) and joins them by spaces, as a tokenizer without a decoder does.
+   encodes each distinct word once (of more than ``KNOWN`` of them the oldest are let go, and encoded again if they
+   come again), and answers every chunk with ids in the order asked.
+3. The ids that a chunk's answers use meet the id-to-piece table in a join (as many rows
+   for a chunk as the vocabulary has pieces, at most; none for an occurrence).
+4. A chunk, its answers and its pieces meet (chunks are stored in buckets, so only the answers
+   are shuffled); ids take the places of word numbers.  Decoding puts the pieces joined in place of ids
+   and joins them by spaces, as a tokenizer without a decoder does.
 
 What is dealt out is a chunk's distinct words, never a row for each occurrence,
 so no frequent word makes a large group.
@@ -32,12 +34,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import materialize_bucketed, texts_of, worker_state
+from gridwright.llm.common import fresh, materialize, materialize_bucketed, texts_of, worker_state
 
 CHUNK_CHARS = 8_000_000
+KNOWN = 500_000
 #: Python takes these for white space, the tokenizers library doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -174,28 +177,48 @@ def _read(path: str) -> tuple[object, list[str]]:
     return tok, [tok.id_to_token(i) or "" for i in range(size)]
 
 
-def encode_words(parts: DataFrame, tokenizer: str, buckets: int) -> DataFrame:
-    """Answers to the 'words' rows: numbers of ids of each word, and the ids."""
+ANSWER = pa.schema([("chunk", pa.string()), ("bucket", pa.int32()), ("data", pa.binary()), ("more", pa.binary()), ("used", pa.list_(pa.int32()))])
+
+
+def encode_words(parts: DataFrame, tokenizer: str, buckets: int, known_size: int = KNOWN) -> DataFrame:
+    """Answers to the 'words' rows: the ids (data), the number of ids of each word (more), and which ids occur (used)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, _ = _vocabulary(tokenizer)
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
         for b in batches:
             for row in b.to_pylist():
                 words = _expand(row["data"]).decode().split("\n")
-                new = [w for w in words if w not in known]
+                got = [known.get(w) or old.get(w) for w in words]
+                new = [i for i, x in enumerate(got) if x is None]
                 for lo in range(0, len(new), 2_000):
                     part = new[lo : lo + 2_000]
-                    for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, np.uint32).tobytes()
-                got = [known[w] for w in words]
+                    for i, e in zip(part, tok.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                        got[i] = np.array(e.ids, np.uint32).tobytes()
+                if len(known) + len(words) > known_size:
+                    old, known = known, {}
+                known.update(zip(words, got, strict=True))
                 n = np.fromiter((len(x) // 4 for x in got), np.uint32, len(got))
                 ids = np.frombuffer(b"".join(got), np.uint32)
-                answer = {"chunk": row["chunk"], "bucket": row["bucket"], "data": pack_numbers(ids), "more": pack_numbers(n), "kind": "ids"}
-                yield pa.RecordBatch.from_pylist([answer], schema=PART)
+                answer = {"chunk": row["chunk"], "bucket": row["bucket"], "data": pack_numbers(ids), "more": pack_numbers(n), "used": np.unique(ids).tolist()}
+                yield pa.RecordBatch.from_pylist([answer], schema=ANSWER)
 
     words = parts.where("kind = 'words'").select("chunk", "bucket", "data")
-    return words.repartitionById(buckets, "bucket").mapInArrow(run, _PART_DDL)
+    return words.repartitionById(buckets, "bucket").mapInArrow(run, "chunk string, bucket int, data binary, more binary, used array<int>")
+
+
+def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """(id, piece): as many rows as the vocabulary has."""
+    _, pieces = _vocabulary(tokenizer)
+    return spark.createDataFrame(pa.table({"id": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
+
+
+def pieces_of(answers: DataFrame, table: DataFrame) -> DataFrame:
+    """(chunk, pieces): id and piece of every id that a chunk's answers use, by a join."""
+    used = answers.groupBy("chunk").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("used"))
+    named = used.select("chunk", F.explode("used").alias("id")).join(F.broadcast(table), "id")
+    return named.groupBy("chunk").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
 
 
 def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -205,13 +228,13 @@ def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, ch
     the decoded text in UTF-8.
     """
     parts = split(docs, tokenizer, buckets, chunk_chars)
-    answers = encode_words(parts, tokenizer, buckets)
+    answers = materialize(encode_words(parts, tokenizer, buckets), "answers")  # read twice: for their ids, and to be joined back
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if texts:
         fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
     schema = pa.schema(fields)
 
-    def finish(head: dict, got: list[dict], pieces: list[str]) -> Iterator[pa.RecordBatch]:
+    def finish(head: dict, got: list[dict], pieces: dict[int, str]) -> Iterator[pa.RecordBatch]:
         bucket = unpack_numbers(head["more"])
         order = np.argsort(bucket, kind="stable")
         ids_of, text_of, many = [""] * len(order), [""] * len(order), np.zeros(len(order), np.int64)
@@ -247,16 +270,16 @@ def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, ch
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, pieces = _vocabulary(tokenizer)
         for b in batches:
             for i in range(b.num_rows):
                 row = b.slice(i, 1).to_pylist()[0]
-                yield from finish(row, row["got"] or [], pieces)
+                yield from finish(row, row["got"] or [], {x["id"]: x["piece"] for x in row["pieces"] or []})
 
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data", "more")).alias("got"))
     # the chunks lie in buckets already, so only the answers move
     chunks = parts.where("kind = 'docs'").select("chunk", "doc_ids", "words", "data", "more")
-    both = chunks.join(by_chunk, "chunk", "left").select("doc_ids", "words", "data", "more", "got")
+    pieces = pieces_of(answers, piece_table(docs.sparkSession, tokenizer))
+    both = chunks.join(by_chunk, "chunk", "left").join(pieces, "chunk", "left").select("doc_ids", "words", "data", "more", "got", "pieces")
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
     return both.mapInArrow(run, ddl)
 
@@ -264,12 +287,14 @@ def encode(docs: DataFrame, tokenizer: str, buckets: int, texts: bool = True, ch
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """``encoded`` with column ``decoded``: pieces of the column ``ids``, in order, joined by spaces.
 
-    The id-to-piece table is as large as the vocabulary, so it is broadcast.
+    A row for each id meets the id-to-piece table, which is as large as the vocabulary and so broadcast; rows
+    come together again by number and position.
     """
-    _, pieces = _vocabulary(tokenizer)
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(pa.table({"id": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
-    one = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "piece"))), lambda x: x["piece"]).alias("pieces"))
-    joined = encoded.crossJoin(F.broadcast(one))  # one row: the whole table as an array
-    text = F.array_join(F.transform("ids", lambda i: F.get("pieces", i)), " ")
-    return joined.withColumn("decoded", F.coalesce(text, F.lit(""))).drop("pieces")
+    key, at, ident, words = fresh(encoded, "row", "at", "id", "decoded_words")
+    numbered = materialize(encoded.drop("decoded").withColumn(key, F.monotonically_increasing_id()), "encoded")  # so that the numbers stay
+    table = piece_table(encoded.sparkSession, tokenizer).withColumnsRenamed({"id": ident})
+    each = numbered.select(key, F.posexplode("ids").alias(at, ident)).join(F.broadcast(table), ident)
+    texts = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, "piece"))).alias(words))
+    text = F.array_join(F.transform(words, lambda x: x["piece"]), " ")
+    own = [f"`{c}`" for c in encoded.columns if c.lower() != "decoded"]
+    return numbered.join(texts, key, "left").select(*own, F.coalesce(text, F.lit("")).alias("decoded"))

@@ -71,6 +71,19 @@ def test_bpe_odd_texts_and_decode(spark, word_bpe, no_docs):
     assert len(got) == len(texts) and bpe.encode(no_docs, path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_bpe_joins_and_bounds(spark, docs, word_bpe):
+    """Few words are kept by a worker, and pieces come from the id-to-piece table."""
+    parts = bpe.split(docs, path("word_bpe_49k.json"), 3, chunk_chars=300)
+    answers = bpe.encode_words(parts, path("word_bpe_49k.json"), 3, known_size=2).collect()
+    whole = bpe.encode_words(parts, path("word_bpe_49k.json"), 3).collect()
+    assert {(r.chunk, r.bucket, bytes(r.data), bytes(r.more)) for r in answers} == {(r.chunk, r.bucket, bytes(r.data), bytes(r.more)) for r in whole}
+    found = bpe.pieces_of(spark.createDataFrame(whole), bpe.piece_table(spark, path("word_bpe_49k.json"))).collect()
+    used = {r.chunk: {i for x in whole if x.chunk == r.chunk for i in x.used} for r in found}
+    assert {r.chunk: {p.id: p.piece for p in r.pieces} for r in found} == {c: {i: word_bpe.id_to_token(i) for i in ids} for c, ids in used.items()}
+    plan = bpe.encode(docs, path("word_bpe_49k.json"), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(used" in plan and "Join Inner, (id#" in plan
+
+
 @pytest.mark.parametrize("x", [[], [0], [2**32 - 2], [5] * 9, list(range(70_000))])
 def test_packed_numbers(x):
     assert bpe.unpack_numbers(bpe.pack_numbers(np.array(x, np.uint32))).tolist() == x
