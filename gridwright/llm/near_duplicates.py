@@ -6,7 +6,7 @@ none, is one shingle); linked are those with a Jaccard index of at least ``THRES
 1. Texts of equal words collapse into one *node* (with its number of documents).
    A node has ``HASHES`` MinHash values of 16 bits, four to a band.
 2. Nodes that agree in a band are candidates.  A band's members are compared in
-   blocks of ``BLOCK``, MinHash values ``STEP`` at a time; a pair is dropped as soon as the
+   blocks of about ``BLOCK`` (by hash), MinHash values ``STEP`` at a time; a pair is dropped as soon as the
    posterior probability that its index reaches the threshold (uniform prior)
    falls below ``TOLERANCE``.  What is kept is not listed: each block only says
    which nodes hang together.
@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import as_signed, bytes_of, materialize, mix64, powers, scan_words, slices
+from gridwright.llm.common import as_signed, bytes_of, fresh, materialize, mix64, powers, scan_words, slices
 from gridwright.llm.components import components
 
 SHINGLE = 5
@@ -178,13 +178,17 @@ def _sketches(docs: DataFrame) -> DataFrame:
 
 
 def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Rows of keys with two rows or more, with (ba, bb): the pairs of blocks that a row takes part in."""
-    w = Window.partitionBy(key)
-    rows = rows.withColumn("size", F.count("*").over(w)).where("size > 1")
-    rows = rows.withColumn("own", F.floor((F.row_number().over(w.orderBy("node")) - 1) / block).cast("int"))
-    last = F.floor((F.col("size") - 1) / block).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least("own", o).alias("ba"), F.greatest("own", o).alias("bb")))
-    return rows.withColumn("meet", F.explode(meet)).select("*", "meet.ba", "meet.bb").drop("meet", "size")
+    """Rows of keys with two rows or more, with (ba, bb): the pairs of blocks that a row takes part in.
+
+    A row's block is a hash of its node, so no key's rows have to meet to be numbered: sizes are counts that are
+    combined before they move, and are stored, so that both sides of the join are plain shuffles whose hot partitions Spark can split.
+    """
+    sizes = materialize(rows.groupBy(key).agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    rows = rows.join(sizes.withColumnRenamed(key, "k"), F.col(key) == F.col("k"))
+    blocks = F.ceil(F.col("size") / block)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), blocks).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), (blocks - 1).cast("int")), lambda o: F.struct(F.least("own", o).alias("ba"), F.greatest("own", o).alias("bb")))
+    return rows.withColumn("meet", F.explode(meet)).select("*", "meet.ba", "meet.bb").drop("meet", "size", "k")
 
 
 _EDGE = "a long, b long"
@@ -342,11 +346,11 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), block).where("kept")
     keys = found.groupBy("doc_id", "tk").agg(F.count("*").alias("rows"))
     keys = materialize(keys.withColumnsRenamed({"doc_id": "kd", "tk": "kt"}), "kept")
-    own = docs.columns
+    own, (n,) = [f"`{c}`" for c in docs.columns], fresh(docs, "rows")
     out = docs.join(keys, [docs["doc_id"].cast("long").eqNullSafe(keys["kd"]), F.xxhash64(docs["text"]) == keys["kt"]])
-    out = out.select(*[docs[f"`{c}`"] for c in own], keys["rows"].alias("__rows"))
+    out = out.select(*[docs[c] for c in own], keys["rows"].alias(n))
     if keys.where("rows > 1").limit(1).count():
-        once = out.where("__rows = 1").select(*own)
-        again = out.where("__rows > 1").select(*own)
+        once = out.where(F.col(n) == 1).select(*own)
+        again = out.where(F.col(n) > 1).select(*own)
         return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
     return out.select(*own)
