@@ -231,9 +231,11 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard
     df = docs.select(*[f"`{f.name}`" for f in own])
     df = df.selectExpr("*", "0L AS n_words", f"CAST(array() AS {_SPAN_DDL}) AS hit_words", f"CAST(array() AS {_SPAN_DDL}) AS hit_bytes", "CAST(array() AS array<string>) AS items")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    found = list(map(pickle.dumps, (Matcher(x, window) for x in shards(benchmark, shard_words)))) or [pickle.dumps(Matcher([], window))]
-    for nth, blob in enumerate(found):
-        shared = spark.sparkContext.broadcast(blob)
+    todo = shards(benchmark, shard_words)
+    items, nth = next(todo, []), 0
+    while items is not None:
+        after = next(todo, None)  # the driver holds one automaton and two shards' texts, however large the benchmark
+        shared = spark.sparkContext.broadcast(pickle.dumps(Matcher(items, window)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, nth=nth) -> Iterator[pa.RecordBatch]:
             matcher = pickle.loads(shared.value)
@@ -255,8 +257,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard
                     yield pa.RecordBatch.from_arrays([made.get(n, c) for n, c in zip(names, b.columns, strict=True)], names=names)
 
         df = df.mapInArrow(run, ddl)
-        if nth + 1 < len(found):
+        if after is not None:
             df = materialize(df, "hits")
+            shared.destroy()
+        items, nth = after, nth + 1
     return df
 
 
