@@ -7,7 +7,8 @@ the tokenizer itself.  Both only save time: every pre-token's length comes from
 the tokenizer, so the counts are those of the whole text.
 
 The table is filled from a sample of about ``SAMPLE_ROWS`` documents.  Null text
-counts as empty (0 bytes, 0 tokens); other columns are carried along untouched.
+counts as empty (0 bytes, 0 tokens); other columns are carried along untouched, but for
+those named n_bytes and n_tokens, which give way.
 """
 
 from __future__ import annotations
@@ -76,10 +77,11 @@ class Lengths(dict):
         return n
 
 
-def _frequent(docs: DataFrame, sample_rows: int, size: int) -> Counter:
+def _frequent(docs: DataFrame, sample_rows: int, size: int) -> list[str]:
+    """The most frequent pre-tokens of a sample, ``size`` at most; each task of the scan sends a bounded number of counts."""
     rows = docs.count()
     if not rows:
-        return Counter()
+        return []
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -88,13 +90,12 @@ def _frequent(docs: DataFrame, sample_rows: int, size: int) -> Counter:
                 seen.update(pre_tokens(text))
                 if len(seen) > 8 * size:
                     seen = Counter(dict(seen.most_common(2 * size)))
-        yield pa.RecordBatch.from_pydict({"blob": [pickle.dumps(seen.most_common(2 * size))]})
+        best = seen.most_common(2 * size)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], names=["unit", "n"])
 
-    found: Counter = Counter()
-    sample = docs.select("text").sample(fraction=min(1.0, sample_rows / rows), seed=5).coalesce(4)
-    for row in sample.mapInArrow(tally, "blob binary").collect():  # four rows of bounded size
-        found.update(dict(pickle.loads(row.blob)))
-    return found
+    sample = docs.select("text").sample(fraction=min(1.0, sample_rows / rows), seed=5)
+    found = sample.mapInArrow(tally, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return [r.unit for r in found.orderBy(F.desc("n"), "unit").limit(size).collect()]
 
 
 def count_tokens(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, table_size: int = TABLE_SIZE) -> DataFrame:
@@ -105,7 +106,7 @@ def count_tokens(docs: DataFrame, model: str, sample_rows: int = SAMPLE_ROWS, ta
     table = {}
     if cut:
         lengths = Lengths(sp, {})
-        table = {k: lengths[k] for k, _ in _frequent(docs, sample_rows, table_size).most_common(table_size)}
+        table = {k: lengths[k] for k in _frequent(docs, sample_rows, table_size)}
     shared = spark.sparkContext.broadcast(pickle.dumps(table))
     key = uuid.uuid4().hex
 
