@@ -143,16 +143,19 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     def part_of(x: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, x.to_numpy(np.int64), "right").astype(np.int32))
 
-    placed = docs.select(part_of(at).alias("part"), at.alias("at"))
+    placed = docs.withColumn("at", at).withColumn("part", part_of("at"))
     first = {r.part: r.at for r in placed.groupBy("part").agg(F.max("at").alias("at")).collect()}  # a row for each part
     held = sorted(first)
-    target = {first[p]: held[(i + 1) % len(held)] for i, p in enumerate(held)}
+    copied = np.array([first[p] for p in held], np.int64)  # ascending, as parts are
+    target = np.array([*held[1:], *held[:1]], np.int32)
 
     @F.pandas_udf("int")
     def copy_to(x: pd.Series) -> pd.Series:
-        return x.map(lambda i: target.get(i, -1)).astype("int32")
+        ids = x.to_numpy(np.int64)
+        nth = np.minimum(np.searchsorted(copied, ids), len(copied) - 1)
+        return pd.Series(np.where(copied[nth] == ids, target[nth], -1).astype(np.int32))
 
-    rows = docs.withColumn("at", at).withColumn("part", part_of("at")).withColumn("to", copy_to("at"))
+    rows = placed.withColumn("to", copy_to("at"))
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
     copy = F.struct(F.col("to").alias("part"), F.lit(True).alias("tail"))
     rows = rows.withColumn("place", F.explode(F.when(F.col("to") >= 0, F.array(own, copy)).otherwise(F.array(own))))
