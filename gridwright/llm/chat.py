@@ -98,8 +98,8 @@ def _recovers(role: Column, text: Column, rendered: Column) -> Column:
 def format_chats(rows: DataFrame) -> DataFrame:
     """(conv_id, formatted, source_turns, spans, all_escaped) from (conv_id, turn, role, text) rows.
 
-    ``spans`` marks the assistant bodies in ``formatted`` (start, length in code
-    points, escaped): the loss mask.  Turns are rendered, probed and escaped row
+    ``spans`` marks the assistant bodies in ``formatted`` (start, len in code
+    points, byte_start, byte_len in UTF-8, escaped): the loss mask.  Turns are rendered, probed and escaped row
     by row; only the finished pieces meet in the group of their conversation.
     """
     t = rows.select(
@@ -113,24 +113,24 @@ def format_chats(rows: DataFrame) -> DataFrame:
     # the probe is only run where a control string or a backslash stands in the turn: nothing else can differ
     t = t.withColumn("escaped", F.when(has, ~_recovers(F.col("role"), F.col("text"), raw)).otherwise(F.lit(False)))
     t = t.withColumn("piece", render(F.col("role"), F.col("text"), F.col("escaped")))
-    head_len = F.instr("piece", "\n")
-    tail_len = F.when(F.col("role") == "assistant", 4).otherwise(8)
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
     before = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = t.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
-    t = t.withColumn("ends", F.sum(F.length("piece")).over(before))
-    t = t.withColumn(
-        "turn_row",
-        F.struct(
-            "nth",
-            "role",
-            "text",
-            "piece",
-            (F.col("ends") - F.length("piece") + head_len).alias("start"),
-            (F.length("piece") - head_len - tail_len).alias("len"),
-            "escaped",
-        ),
-    )
+    t = t.withColumn("forced", render(F.col("role"), F.col("text"), F.lit(True)))
+    tail = F.when(F.col("role") == "assistant", 4).otherwise(8)  # the closing control, in code points and bytes
+
+    def span(piece: str, escaped: Column) -> Column:
+        """Where the body stands in the conversation, if its turns are rendered as ``piece``."""
+        head, size, octets = F.instr(piece, "\n"), F.length(piece), F.octet_length(piece)
+        head_octets = F.octet_length(F.substr(F.col(piece), F.lit(1), head))
+        return F.struct(
+            (F.sum(size).over(before) - size + head).alias("start"), (size - head - tail).alias("len"),
+            (F.sum(octets).over(before) - octets + head_octets).alias("byte_start"), (octets - head_octets - tail).alias("byte_len"),
+            escaped.alias("escaped"),
+        )
+
+    t = t.withColumn("span", span("piece", F.col("escaped"))).withColumn("forced_span", span("forced", F.lit(True)))
+    t = t.withColumn("turn_row", F.struct("nth", "role", "text", "piece", "span", "forced_span"))
     g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn_row")).alias("turns"))
     want = F.transform(
         "turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"), (x["role"] == "assistant").alias("loss"))
@@ -139,24 +139,33 @@ def format_chats(rows: DataFrame) -> DataFrame:
     g = g.withColumn("source_turns", want)
     g = g.withColumn("all_escaped", ~F.coalesce(parse(F.col("formatted")) == F.col("source_turns"), F.lit(False)))
     again = F.array_join(F.transform("turns", lambda x: render(x["role"], x["text"], F.lit(True))), "")
-    spans = F.transform(
-        F.filter("turns", lambda x: x["role"] == "assistant"),
-        lambda x: F.struct(x["start"].alias("start"), x["len"].alias("len"), x["escaped"].alias("escaped")),
-    )
+    own = F.filter("turns", lambda x: x["role"] == "assistant")
+    spans = F.when(F.col("all_escaped"), F.transform(own, lambda x: x["forced_span"])).otherwise(F.transform(own, lambda x: x["span"]))
     return g.select(
         "conv_id",
         F.when(F.col("all_escaped"), again).otherwise(F.col("formatted")).alias("formatted"),
         "source_turns",
-        F.when(~F.col("all_escaped"), spans).alias("spans"),
+        spans.alias("spans"),
         "all_escaped",
     )
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts under the loss mask, unescaped.  Cut out of the bytes: there a position is found at once, however long the conversation."""
+
+    def text(raw: Column, s: Column) -> Column:
+        body = F.decode(F.substr(raw, (s["byte_start"] + 1).cast("int"), s["byte_len"].cast("int")), "UTF-8")
+        return F.when(s["escaped"], unescape(body)).otherwise(body)
+
+    bound = F.transform(F.array(F.encode(formatted, "UTF-8")), lambda raw: F.transform(spans, lambda s: text(raw, s)))
+    return F.get(bound, F.lit(0))
+
+
 def digest_chats(formatted: DataFrame) -> DataFrame:
-    """The contract's columns, read back from ``formatted`` alone."""
+    """The contract's columns, read back from ``formatted``: the turns by the parser, the loss by the mask."""
     got = formatted.withColumn("got", parse(F.col("formatted")))
     turns = F.array_join(F.transform("got", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("got", lambda x: x["loss"]), lambda x: x["text"]), "")
+    loss = F.array_join(masked(F.col("formatted"), F.col("spans")), "")
     got = got.withColumn("all_turns", turns).withColumn("loss_text", loss)
     return got.select(
         "conv_id",
