@@ -62,18 +62,28 @@ def materialize_bucketed(df: DataFrame, name: str, by: str, buckets: int, key: s
     return spark.table(table_name)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete every scratch table written so far; returns how many. Call when results are stored."""
+def written() -> int:
+    """How many scratch tables there are now: a mark for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the scratch tables written after the first ``since``, but for the last ``keep``; returns how many.
+
+    Call when what was made of them is stored.
+    """
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop()}")
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    last = len(_WRITTEN) - keep
+    gone = _WRITTEN[since:last]
+    _WRITTEN[since:last] = []
+    for name in [t for t in _TABLES if any(path.endswith(f"/{t}") for path in gone)]:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _TABLES.remove(name)
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
-        n += 1
-    return n
+    return len(gone)
 
 
 @atexit.register

@@ -38,10 +38,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.llm.common import bytes_of, fresh, materialize, mix64, scan_words, slices
+from gridwright.llm.common import bytes_of, fresh, materialize, mix64, release, scan_words, slices, written
 
 
 class Unit(NamedTuple):
@@ -454,19 +454,33 @@ def in_bytes(text: bytes, runs: list[tuple[int, int]], unit: Unit) -> list[tuple
     return [(starts[lo], starts[hi]) for lo, hi in runs]
 
 
-def remove_repeats(docs: DataFrame, unit: Unit = BYTES, keep_text: bool = False, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: Unit = BYTES, keep_text: bool = False, group: int = GROUP, count_words: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept_sha256; with ``keep_text`` its text is what is left (null stays null).
 
-    What is left is cut at bytes; characters that a cut goes through are dropped from the text.
+    What is left is cut at bytes; characters that a cut goes through are dropped from the text.  ``count_words`` adds
+    n_repeated_words: the words in passages of more than 50 words that occur again, which are found
+    by a pass of their own and removed only so far as ``unit`` says so.
     """
-    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_repeated_words"] * count_words
+    spark = docs.sparkSession
     docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
     own = docs.schema.fields
-    tk, found_in = fresh(docs, "tk", "spans")
+    tk, found_in, words_in = fresh(docs, "tk", "spans", "word_spans")
     docs = docs.withColumn(tk, F.xxhash64("text"))
-    spans = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tk).alias("tk"), "text"), unit, group)
-    on = [docs["doc_id"].eqNullSafe(spans["doc_id"]), docs[tk] == spans["tk"]]
-    both = docs.join(spans, on, "left").select(*[docs[f"`{f.name}`"] for f in own], spans["spans"].alias(found_in))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(tk).alias("tk"), "text")
+
+    def on(spans: DataFrame) -> list[Column]:
+        return [docs["doc_id"].cast("long").eqNullSafe(spans["doc_id"]), docs[tk] == spans["tk"]]
+
+    if count_words:
+        mark = written()
+        by_word = materialize(repeated_spans(keyed, WORDS, group), "word-spans")
+        release(spark, mark, keep=1)
+    spans = repeated_spans(keyed, unit, group)
+    both, found = docs.join(spans, on(spans), "left"), [spans["spans"].alias(found_in)]
+    if count_words:
+        both, found = both.join(by_word, on(by_word), "left"), [*found, by_word["spans"].alias(words_in)]
+    both = both.select(*[docs[f"`{f.name}`"] for f in own], *found)
     out = [f for f in own if keep_text or f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -486,9 +500,11 @@ def remove_repeats(docs: DataFrame, unit: Unit = BYTES, keep_text: bool = False,
                 made["kept_sha256"].append(hashlib.sha256(left).hexdigest())
                 if keep_text:
                     made["text"].append(None if none else left.decode("utf-8", "ignore"))
+            if count_words:
+                made["n_repeated_words"] = [sum(hi - lo for lo, hi in union_spans(x)) for x in b.column(b.schema.get_field_index(words_in)).to_pylist()]
             columns = [pa.array(made["text"], pa.string()) if f.name == "text" else b.column(b.schema.get_field_index(f.name)) for f in out]
             columns += [pa.array(made[k], pa.string() if k == "kept_sha256" else pa.int64()) for k in names]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in out), *names])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_repeated_words long" * count_words
     return both.mapInArrow(run, ddl)

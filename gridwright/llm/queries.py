@@ -60,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return passages.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), count_words=True)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,17 @@ def test_repeated_passages_of_words(spark, group):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_word_repeats(rows)
 
 
+def test_words_are_counted_beside_bytes(spark):
+    rows = word_passage_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.remove_repeats(df, count_words=True).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
+    seen = Counter(tuple(w[k : k + 51]) for w in ((t or "").encode().split() for _, t in rows) for k in range(len(w) - 50))
+    for r, (_, t) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows), strict=True):
+        w = (t or "").encode().split()
+        assert r.n_repeated_words == len({i for k in range(len(w) - 50) if seen[tuple(w[k : k + 51])] > 1 for i in range(k, k + 51)})
+
+
 @pytest.mark.parametrize("unit", [passages.BYTES, passages.WORDS])
 def test_passages_of_a_very_long_text(spark, monkeypatch, unit):
     """Texts of more than two segments are cut into segments, which changes nothing."""
