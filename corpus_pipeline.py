@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwright.llm import bpe, decontam, near_duplicates, passages, toxicity
-from gridwright.llm.common import materialize, table
+from gridwright.llm.common import materialize, release, table, written
 from gridwright.llm.queries import labelled, parts_of
 
 
@@ -80,5 +80,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        mark = written()
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, mark, keep=1)  # what the stage wrote on its way
     return STAGES[-1][1](spark, docs, sf_dir)
