@@ -25,6 +25,11 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def once(x: Column) -> Column:
+    """x, for a select list, behind a generator of one row: the optimiser can't copy x into what reads the column."""
+    return F.explode(F.array(x))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACES))
 

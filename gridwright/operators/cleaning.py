@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.cells import is_placeholder, null_cell
+from gridwright.functions.cells import is_placeholder, let, null_cell, once
 from gridwright.functions.clean import cell_text, clean_by, cleaners, squeeze
 from gridwright.functions.fields import FieldRegistry
 
@@ -44,8 +44,8 @@ def repeats_header(cells: Column, headers: Column) -> Column:
     return (meaningful > 0) & (F.size(same) >= REPEATED * meaningful)
 
 
-def _issue(severity: str, code: str, column: Column, message: Column) -> Column:
-    return F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), column.alias("column"), message.alias("message"))
+def _issue(severity: str, code: Column | str, column: Column, message: Column) -> Column:
+    return F.struct(F.lit(severity).alias("severity"), (F.lit(code) if isinstance(code, str) else code).alias("code"), column.alias("column"), message.alias("message"))
 
 
 def clean_rows(grid: DataFrame, profiles: DataFrame, mapped: DataFrame, locale: str = "us", registry: FieldRegistry | None = None) -> DataFrame:
@@ -53,50 +53,38 @@ def clean_rows(grid: DataFrame, profiles: DataFrame, mapped: DataFrame, locale:
 
     source_row counts from 1 within the grid.  Blank rows go first, then repeats of
     the header, then rows of which nothing is left after cleaning.
+
+    All of a row's cleaning is one expression, bound once, so each cell is cleaned
+    once however often the result is filtered and selected from.
     """
     registry = registry or FieldRegistry()
     table = cleaners(locale)
     heads = F.broadcast(header_arrays(mapped, registry).join(profiles.select("sheet", "header_row"), "sheet"))
     rows = grid.join(heads, "sheet").where(F.col("row_idx") > F.col("header_row"))
-    rows = rows.withColumn(
-        "dropped", F.when(is_blank(F.col("cells")), BLANK).when(repeats_header(F.col("cells"), F.col("headers")), HEADER)
-    )
+    cells, headers = F.col("cells"), F.col("headers")
 
     def value(h: Column) -> Column:
-        cell = F.coalesce(F.get("cells", h["col_idx"]), null_cell())
-        got = clean_by(h["value_type"], cell, table)
-        return F.struct(h["header"].alias("header"), h["field"].alias("field"), h["key"].alias("key"), h["value_type"].alias("value_type"), got.alias("got"))
-
-    made = F.when(F.col("dropped").isNull(), F.transform("headers", value))
-    rows = rows.select("sheet", "sheet_ord", (F.col("row_idx") + 1).alias("source_row"), "dropped", made.alias("made"))
-    flat = F.transform(
-        "made",
-        lambda x: F.struct(x["header"], x["field"], x["key"], x["value_type"], x["got"]["value"].alias("value"), x["got"]["num"].alias("num"), x["got"]["valid"].alias("valid"), x["got"]["note"].alias("note")),
-    )
-    rows = rows.withColumn("values", flat).drop("made")
-    gone = F.col("dropped").isNull() & ~F.exists("values", lambda x: x["value"].isNotNull())
-    rows = rows.withColumn("dropped", F.when(gone, MALFORMED).otherwise(F.col("dropped")))
-    noted = F.flatten(
-        F.transform(
-            F.coalesce("values", F.array().cast(_value_type(rows))),
-            lambda x: F.array_compact(
-                F.array(
-                    F.when(x["note"].isNotNull(), _issue("warning", "cell_note", x["header"], x["note"])),
-                    F.when(
-                        ~x["valid"] & x["value"].isNotNull(),
-                        _issue("warning", "failed_validation", x["header"], F.concat(F.lit("Value present but failed validation for field type '"), x["value_type"], F.lit("'."))),
-                    ),
-                )
-            ),
-        )
-    ).cast(f"array<{ISSUE}>")
-    messages = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
-    drop = F.when(
-        F.col("dropped").isNotNull(),
-        F.array(F.struct(F.lit("info").alias("severity"), F.col("dropped").alias("code"), F.lit(None).cast("string").alias("column"), F.element_at(messages, F.col("dropped")).alias("message"))),
-    ).otherwise(F.array())
-    return rows.withColumn("issues", F.concat(noted, drop.cast(f"array<{ISSUE}>")))
+        flat = lambda x: F.struct(h["header"].alias("header"), h["field"].alias("field"), h["key"].alias("key"), h["value_type"].alias("value_type"), x["value"].alias("value"), x["num"].alias("num"), x["valid"].alias("valid"), x["note"].alias("note"))
+        return let(let(F.coalesce(F.get(cells, h["col_idx"]), null_cell()), lambda cell: clean_by(h["value_type"], cell, table)), flat)
 
+    def judged(early: Column, values: Column) -> Column:
+        gone = early.isNull() & ~F.exists(values, lambda x: x["value"].isNotNull())
+        return let(F.when(gone, MALFORMED).otherwise(early), lambda dropped: F.struct(dropped.alias("dropped"), values.alias("values"), _row_issues(values, dropped).alias("issues")))
 
-def _value_type(rows: DataFrame) -> str:
-    return rows.schema["values"].dataType.simpleString()
+    early = F.when(is_blank(cells), BLANK).when(repeats_header(cells, headers), HEADER)
+    made = let(early, lambda e: let(F.when(e.isNull(), F.transform(headers, value)), lambda values: judged(e, values)))
+    rows = rows.select("sheet", "sheet_ord", (F.col("row_idx") + 1).alias("source_row"), once(made).alias("made"))
+    return rows.select("sheet", "sheet_ord", "source_row", "made.dropped", "made.values", "made.issues")
+
+
+def _row_issues(values: Column, dropped: Column) -> Column:
+    """What is noted of the cells, in column order, then why the row is dropped."""
+    of_cell = lambda x: F.array(
+        F.when(x["note"].isNotNull(), _issue("warning", "cell_note", x["header"], x["note"])),
+        F.when(~x["valid"] & x["value"].isNotNull(), _issue("warning", "failed_validation", x["header"], F.concat(F.lit("Value present but failed validation for field type '"), x["value_type"], F.lit("'.")))),
+    )
+    none = F.array().cast(f"array<{ISSUE}>")
+    noted = F.array_compact(F.flatten(F.transform(values, of_cell))).cast(f"array<{ISSUE}>")
+    messages = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    reason = F.array(_issue("info", dropped, F.lit(None).cast("string"), F.element_at(messages, dropped))).cast(f"array<{ISSUE}>")
+    return F.concat(F.coalesce(noted, none), F.when(dropped.isNotNull(), reason).otherwise(none))

@@ -36,15 +36,6 @@ def negative_amounts(records: DataFrame) -> DataFrame:
     )
 
 
-def number_issues(issues: DataFrame) -> DataFrame:
-    """Issues with ``seq``, their place in the log: by sheet, step, row.
-
-    Only used for the log itself, which is one ordered file; all other reports count issues unnumbered.
-    """
-    order = Window.orderBy("sheet_ord", "stage", F.col("row").asc_nulls_first(), "nth", "message")
-    return issues.withColumn("seq", F.row_number().over(order))
-
-
 def issue_summary(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n"))
 
@@ -93,6 +84,13 @@ def duplicates_in_sheet(records: DataFrame, fields: tuple[str, ...] = KEY_FIELDS
     return keyed.join(first, ["sheet", "dup_key"]).where("source_row > first_row").select("sheet", "first_row", F.col("source_row").alias("row"))
 
 
+def first_duplicates(found: DataFrame, most: int) -> DataFrame:
+    """(sheet, n, first): the number of a sheet's duplicates and the first ``most`` of them, as (row, first_row); no other pair is gathered."""
+    rank = F.row_number().over(Window.partitionBy("sheet").orderBy("row"))
+    top = found.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("sheet").agg(F.array_sort(F.collect_list(F.struct("row", "first_row"))).alias("first"))
+    return found.groupBy("sheet").agg(F.count("*").alias("n")).join(top, "sheet")
+
+
 def duplicates_across_sheets(records: DataFrame, fields: tuple[str, ...] = KEY_FIELDS) -> DataFrame:
     """(first_sheet, first_row, sheet, row): records whose key first occurred on another sheet."""
     keyed = with_key(records, fields).where("dup_key IS NOT NULL").select(*LINEAGE, "dup_key")

@@ -54,11 +54,11 @@ def collisions(cleaned: DataFrame) -> DataFrame:
     return rows.select(*LINEAGE, F.col("x.header").alias("header"), F.col("x.key").alias("key"))
 
 
-def long_records(records: DataFrame, registry: FieldRegistry | None = None) -> DataFrame:
-    """(sheet, sheet_ord, source_row, field, value, num) for every field of every record, also null ones."""
+def long_records(records: DataFrame, registry: FieldRegistry | None = None, only: list[str] | None = None) -> DataFrame:
+    """(sheet, sheet_ord, source_row, field, value, num) for every field of every record, also null ones; ``only``: of these fields."""
     registry = registry or FieldRegistry()
     numeric = set(registry.numeric())
-    fields = list(registry.fields)
+    fields = [f for f in registry.fields if only is None or f in only]
     from gridwright.functions.cells import float_text
 
     entries = [
@@ -73,7 +73,9 @@ def long_records(records: DataFrame, registry: FieldRegistry | None = None) -> D
         F.map_entries(F.coalesce("extra", F.create_map().cast("map<string,string>"))),
         lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value"), F.lit(None).cast("double").alias("num")),
     )
-    every = F.concat(F.array(*entries), more)
+    if only is not None:
+        more = F.filter(more, lambda x: x["field"].isin(*only))
+    every = F.concat(F.array(*entries), more) if entries else more
     return records.select(*LINEAGE, F.explode(every).alias("x")).select(*LINEAGE, "x.field", "x.value", "x.num")
 
 

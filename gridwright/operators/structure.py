@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridwright.functions.cells import is_empty, strip
+from gridwright.functions.cells import is_empty, let, strip
 
 SEARCH_ROWS = 15
+FEW_REGIONS = 20_000  # merged regions that may be broadcast
 CANDIDATE_SCORE = 0.55
 LEAST_SCORE = 0.4
 NEAR_EMPTY = 0.9  # a sheet's own sparse flag, whatever the note's threshold
@@ -76,22 +77,24 @@ def profile_sheets(grid: DataFrame, sparse_threshold: float = NEAR_EMPTY) -> Dat
 def fill_merged(grid: DataFrame, regions: DataFrame) -> DataFrame:
     """Copy each region's anchor into its cells, also an empty anchor.
 
-    ``regions`` is (sheet, r0, c0, r1, c1), zero-based and inclusive, in order: a
-    later region wins.  Rows meet their sheet's regions by an interval join on the
-    row; the anchors come from the rows themselves.
+    ``regions`` is (sheet, r0, c0, r1, c1), zero-based and inclusive: of regions that overlap the one that begins further
+    down (then further right) wins.  The anchors are looked up once; then each row carries its sheet's regions and fills its own cells,
+    so the grid isn't grouped, and isn't shuffled where the regions are few (``FEW_REGIONS``) and so broadcast.
     """
-    numbered = regions.select("sheet", "r0", "c0", "r1", "c1")
-    anchors = grid.join(numbered.withColumnRenamed("sheet", "s"), (F.col("sheet") == F.col("s")) & (F.col("row_idx") == F.col("r0")))
-    anchors = anchors.select("s", "r0", "c0", "r1", "c1", F.get("cells", F.col("c0").cast("int")).alias("anchor"))
-    hit = grid.join(anchors, (grid["sheet"] == anchors["s"]) & grid["row_idx"].between(anchors["r0"], anchors["r1"]), "left")
-    spans = F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("r0", "c0", "c1", "anchor"))))
-    rows = hit.groupBy("sheet", "sheet_ord", "row_idx").agg(F.first("cells").alias("cells"), spans.alias("spans"))
-
-    def cell(c: Column, i: Column) -> Column:
-        over = F.filter("spans", lambda x: i.between(x["c0"], x["c1"]))
-        return F.when(F.size(over) > 0, F.element_at(over, -1)["anchor"]).otherwise(c)
-
-    return rows.select("sheet", "sheet_ord", "row_idx", F.transform("cells", cell).alias("cells"))
+    numbered = regions.select(F.col("sheet").alias("s"), "r0", "c0", "r1", "c1")
+    few = numbered.limit(FEW_REGIONS + 1).count() <= FEW_REGIONS
+    hint = F.broadcast if few else lambda df: df
+    anchors = grid.join(hint(numbered), (F.col("sheet") == F.col("s")) & (F.col("row_idx") == F.col("r0")))
+    region = F.struct("r0", "c0", "r1", "c1", F.get("cells", F.col("c0").cast("int")).alias("anchor"))
+    by_sheet = anchors.groupBy("s").agg(F.array_sort(F.collect_list(region)).alias("regions"))
+    rows = grid.join(hint(by_sheet), F.col("sheet") == F.col("s"), "left")
+
+    def cell(c: Column, i: Column, own: Column) -> Column:
+        return let(F.filter(own, lambda x: i.between(x["c0"], x["c1"])), lambda over: F.when(F.size(over) > 0, F.element_at(over, -1)["anchor"]).otherwise(c))
+
+    of_row = F.filter(F.coalesce("regions", F.array()), lambda x: F.col("row_idx").between(x["r0"], x["r1"]))
+    filled = let(of_row, lambda own: F.when(F.size(own) > 0, F.transform("cells", lambda c, i: cell(c, i, own))).otherwise(F.col("cells")))
+    return rows.select("sheet", "sheet_ord", "row_idx", filled.alias("cells"))
 
 
 def has_formulas(grid: DataFrame, rows: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out if it is a scan of fewer partitions than there are cores: for costly expressions over a small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ------------------------------------------------------------------ scalar functions
 @query(r"""
     SELECT doc_id, md5(t) AS clean_md5, CAST(length(t) AS BIGINT) AS n_chars, t IS NOT NULL AS valid
     FROM (SELECT doc_id, nullif(trim(regexp_replace(replace(chr(160) || replace(text, ' ', '  ') || chr(9), chr(160), ' '), '\s+', ' ', 'g')), '') AS t FROM documents)""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     messy = F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\t"))
-    got = table(spark, sf_dir, "documents").select("doc_id", clean.clean_text(C.text_cell(messy)).alias("c"))
+    got = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", C.once(clean.clean_text(C.text_cell(messy))).alias("c"))
     return got.select("doc_id", F.md5("c.value").alias("clean_md5"), F.length("c.value").cast("long").alias("n_chars"), "c.valid")
 
 
@@ -69,8 +76,8 @@ _AMOUNT = """CASE o_orderkey % 9 WHEN 0 THEN '$' || n WHEN 1 THEN '(' || n || ')
            CASE WHEN x IS NULL THEN 'unparseable numeric value: ''' || inner_s || '''' WHEN bare <> inner_s THEN 'currency symbols/commas stripped' END AS note
     FROM v UNION ALL SELECT o_orderkey, NULL, false, NULL FROM t WHERE s = 'N/A'""")
 def clean_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").cast("string").alias("n"))
-    got = t.select("o_orderkey", clean.clean_numeric(C.text_cell(F.expr(_AMOUNT))).alias("c"))
+    t = spread(table(spark, sf_dir, "orders").select("o_orderkey", F.floor("o_totalprice").cast("long").cast("string").alias("n")))
+    got = t.select("o_orderkey", C.once(clean.clean_numeric(C.text_cell(F.expr(_AMOUNT)))).alias("c"))
     return got.select("o_orderkey", "c.num", "c.valid", "c.note")
 
 
@@ -94,18 +101,18 @@ def _date_sql(names: list[str]) -> str:
 
 
 def _messy_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "orders").createOrReplaceTempView("gw_orders")
+    spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).createOrReplaceTempView("gw_orders")
     return spark.sql(_DATES.replace("FROM orders", "FROM gw_orders").replace("VARCHAR(4)", "STRING").replace("VARCHAR(2)", "STRING"))
 
 
 @query(_date_sql(US_DATES))
 def clean_date_us(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy_dates(spark, sf_dir).select("o_orderkey", clean.parse_date(F.col("s"), "us").alias("x")).select("o_orderkey", "x.iso", "x.fmt")
+    return _messy_dates(spark, sf_dir).select("o_orderkey", C.once(clean.parse_date(F.col("s"), "us")).alias("x")).select("o_orderkey", "x.iso", "x.fmt")
 
 
 @query(_date_sql(clean.date_formats("international")))
 def clean_date_intl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messy_dates(spark, sf_dir).select("o_orderkey", clean.parse_date(F.col("s"), "international").alias("x")).select("o_orderkey", "x.iso", "x.fmt")
+    return _messy_dates(spark, sf_dir).select("o_orderkey", C.once(clean.parse_date(F.col("s"), "international")).alias("x")).select("o_orderkey", "x.iso", "x.fmt")
 
 
 @query(f"""
@@ -123,7 +130,7 @@ _EMAIL = "CASE c_custkey % 5 WHEN 0 THEN replace(c_name, '#', '.') || '@Example.
     SELECT c_custkey, v AS value, coalesce(regexp_matches(v, '^[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}$'), false) AS valid
     FROM (SELECT c_custkey, CASE WHEN s <> 'n/a' THEN lower(trim(s)) END AS v FROM (SELECT c_custkey, {_EMAIL} AS s FROM customer))""")
 def clean_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "customer").select("c_custkey", clean.clean_email(C.text_cell(F.expr(_EMAIL))).alias("c"))
+    got = table(spark, sf_dir, "customer").select("c_custkey", C.once(clean.clean_email(C.text_cell(F.expr(_EMAIL)))).alias("c"))
     return got.select("c_custkey", "c.value", "c.valid")
 
 
@@ -134,7 +141,7 @@ _PHONE = "CASE c_custkey % 4 WHEN 0 THEN '+1 (555) ' || lpad(CAST(c_custkey AS S
     SELECT c_custkey, v AS value, length(replace(v, '+', '')) BETWEEN 7 AND 15 AS valid
     FROM (SELECT c_custkey, regexp_replace({_PHONE.replace("STRING", "VARCHAR")}, '[^0-9+]', '', 'g') AS v FROM customer)""")
 def clean_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = table(spark, sf_dir, "customer").select("c_custkey", clean.clean_phone(C.text_cell(F.expr(_PHONE))).alias("c"))
+    got = table(spark, sf_dir, "customer").select("c_custkey", C.once(clean.clean_phone(C.text_cell(F.expr(_PHONE)))).alias("c"))
     return got.select("c_custkey", "c.value", "c.valid")
 
 
@@ -145,7 +152,7 @@ _BLANK, _HEAD, _BAD = "o_orderkey % 50 = 0", "o_orderkey % 70 = 1", "o_orderkey
 
 def _orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, blank row, header, then an order a row; some rows blank, some the header again, some with nothing usable."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice", "o_orderstatus"))
     text = lambda x: C.text_cell(F.expr(x) if isinstance(x, str) else x)
     blank, head, bad = F.expr(_BLANK), F.expr(_HEAD), F.expr(_BAD)
     plain = [
@@ -172,13 +179,14 @@ def _orders_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(top)
 
 
-def _orders_cleaned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(cleaned rows, mapped headers).  Header and mapping are found on the first rows alone."""
+def _orders_cleaned(spark: SparkSession, sf_dir: str, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cleaned rows, mapped headers).  Header and mapping are found on the first rows alone; ``keep``: for several readers."""
     grid = _orders_grid(spark, sf_dir)
     top = grid.where(F.col("row_idx") < structure.SEARCH_ROWS)
     profiles = mapping.pin(structure.header_rows(top))
     mapped = mapping.pin(mapping.map_headers(mapping.headers_of(top, profiles)))
-    return cleaning.clean_rows(grid, profiles, mapped), mapped
+    cleaned = cleaning.clean_rows(grid, profiles, mapped)
+    return cleaned.persist(StorageLevel.MEMORY_AND_DISK) if keep else cleaned, mapped
 
 
 _DROPPED = f"CASE WHEN {_BLANK} THEN 'blank_or_separator_row' WHEN {_HEAD} THEN 'repeated_header_row' WHEN {_BAD} THEN 'empty_or_malformed' END"
@@ -219,17 +227,16 @@ def canonical_records(spark: SparkSession, sf_dir: str) -> DataFrame:
            CAST(CASE WHEN field = 'amount' THEN count(*) FILTER (x < 0) ELSE 0 END AS BIGINT) AS invalid_count
     FROM l, n GROUP BY field""")
 def records_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned, _ = _orders_cleaned(spark, sf_dir)
+    cleaned, mapped = _orders_cleaned(spark, sf_dir, keep=True)
     recs = records.to_records(cleaned)
-    long = records.long_records(recs).where(F.col("field").isin("id", "full_name", "date", "amount", "status"))
+    long = records.long_records(recs, only=[r.field for r in mapped.collect()])  # a row for each header
     issues = quality.row_issues(cleaned).unionByName(quality.negative_amounts(recs))
-    total = cleaned.where("dropped IS NULL").count()
-    return profiling.profile(long.withColumn("ord", F.col("source_row")), total, issues).select("field", "total_count", "null_count", "null_pct", "unique_count", "min_value", "max_value", "min_date", "max_date", "invalid_count")
+    return profiling.profile(long.withColumn("ord", F.col("source_row")), None, issues).select("field", "total_count", "null_count", "null_pct", "unique_count", "min_value", "max_value", "min_date", "max_date", "invalid_count")
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM ({_RECORDS}) WHERE amount < 0")
 def suspicious_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned, _ = _orders_cleaned(spark, sf_dir)
+    cleaned, _ = _orders_cleaned(spark, sf_dir, keep=True)
     return quality.suspicious_values(cleaned, records.to_records(cleaned)).select("n")
 
 
@@ -239,7 +246,7 @@ def suspicious_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
         UNION ALL SELECT 'warning', count(*) FROM ({_RECORDS}) WHERE amount < 0
         UNION ALL SELECT 'warning', 2 * count(*) FROM orders WHERE {_BAD} AND NOT ({_BLANK}) AND NOT ({_HEAD})) GROUP BY 1""")
 def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned, _ = _orders_cleaned(spark, sf_dir)
+    cleaned, _ = _orders_cleaned(spark, sf_dir, keep=True)
     issues = quality.row_issues(cleaned).unionByName(quality.negative_amounts(records.to_records(cleaned)))
     return quality.issue_summary(issues)
 
@@ -516,7 +523,7 @@ def union_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ profiles
 def _lineitem_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four columns of lineitem in long form; ord is any total order: the key columns and quantity."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate", "l_partkey"))
     none = F.lit(None).cast("double")
     parts = F.array(
         F.struct(F.lit("quantity").alias("field"), F.lit(None).cast("string").alias("value"), F.col("l_quantity").alias("num")),
@@ -535,8 +542,7 @@ def _lineitem_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'shipped', any_value(total), 0, NULL, NULL, NULL, min(strftime(l_shipdate, '%Y-%m-%d')), max(strftime(l_shipdate, '%Y-%m-%d')) FROM lineitem, n
     UNION ALL SELECT 'part', any_value(total), 0, round(min(l_partkey), 2), round(max(l_partkey), 2), round(avg(l_partkey), 2), NULL, NULL FROM lineitem, n""")
 def profile_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = table(spark, sf_dir, "lineitem").count()
-    return profiling.field_stats(_lineitem_long(spark, sf_dir), total).drop("null_pct")
+    return profiling.field_stats(_lineitem_long(spark, sf_dir)).drop("null_pct")
 
 
 @query("""

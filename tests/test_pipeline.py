@@ -225,6 +225,60 @@ def test_one_bad_sheet(spark, tmp_path):
     assert x.records.count() == 0 and len(list(folder.iterdir())) == 5 and (folder / "cleaned_data.csv").read_text() == ""
 
 
+def breaking(kind, monkeypatch):
+    """A cleaner that fails at run time where a text says so."""
+    from pyspark.sql import functions as F
+
+    from gridwright.operators import cleaning
+
+    real = cleaning.cleaners
+
+    def broken(locale="us"):
+        out = real(locale)
+        own = out[kind]
+        out[kind] = lambda c: F.when(c["s"] == "break", F.raise_error(F.lit("broken cell"))).otherwise(own(c))
+        return out
+
+    monkeypatch.setattr(cleaning, "cleaners", broken)
+
+
+def test_a_sheet_that_fails_at_run_time(spark, tmp_path, monkeypatch):
+    breaking("email", monkeypatch)
+    head = ["Full Name", "Email"]
+    path = save(tmp_path, "r.xlsx", xlsx({"A": [head, ["A", "a@b.co"]], "B": [head, ["B", "break"]], "C": [head, ["C", "c@b.co"], ["D", "d@b.co"]]}))
+    x, folder = pipeline.run(spark, path, tmp_path / "out")
+    assert sorted(r.full_name for r in x.records.collect()) == ["A", "C", "D"] and x.complete
+    assert [(r.sheet, r.severity) for r in x.issues.where("code = 'sheet_failed'").collect()] == [("B", "error")]
+    assert len(list(folder.iterdir())) == 5 and "cleaning A, B, C failed" in folder.with_name(f"{folder.name}.log").read_text()
+
+
+def test_time_runs_out_between_sheets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "WAVE", 2)
+    asked = iter([False, False, True])  # after reading, before the second wave, before the third
+    monkeypatch.setattr(pipeline.Clock, "late", lambda self: next(asked, True))
+    head = ["Full Name", "Email"]
+    path = save(tmp_path, "w.xlsx", xlsx({f"S{i}": [head, [f"n{i}", f"n{i}@b.co"]] for i in range(6)}))
+    x = pipeline.extract(spark, path)
+    assert x.timed_out and x.records.count() == 4 and x.issues.where("code = 'timeout'").first().message.endswith("4 of 6 sheets were processed.")
+
+
+def test_a_job_is_cancelled_when_time_is_up(spark):
+    clock = pipeline.Clock(1.0)
+    slow = spark.range(0, 10**13, 1, 2).selectExpr("sum(id % 7)")
+    with pytest.raises(Exception, match="(?i)cancel"), clock.limited(spark):
+        slow.collect()
+    assert clock.late() and spark.range(3).count() == 3
+
+
+def test_only_the_first_duplicates_are_gathered(spark):
+    from gridwright.operators import quality
+
+    rows = [("s", 0, i, f"k{i % 3}") for i in range(90)] + [("t", 1, i, f"u{i}") for i in range(5)]
+    found = quality.duplicates_in_sheet(spark.createDataFrame(rows, "sheet string, sheet_ord int, source_row long, id string"))
+    got = quality.first_duplicates(found, 4).collect()
+    assert [(r.sheet, r.n, [tuple(x) for x in r.first]) for r in got] == [("s", 87, [(3, 0), (4, 1), (5, 2), (6, 0)])]
+
+
 def test_unreadable_and_large_files(spark, tmp_path):
     for name, content, said in (("a.xlsx", b"%PDF", "signature"), ("b.pdf", b"%PDF", "Unsupported"), ("missing.csv", None, "Failed to open")):
         path = save(tmp_path, name, content) if content else str(tmp_path / name)
