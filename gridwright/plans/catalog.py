@@ -6,6 +6,7 @@ expressions that both engines can write, and put them through the operators.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from gridwright.functions import cells as C
 from gridwright.functions import clean
-from gridwright.functions.fields import US_DATES
+from gridwright.functions.fields import US_DATES, FieldRegistry
+from gridwright.functions.similarity import indel_ratio
 from gridwright.operators import cleaning, mapping, overlap, profiling, quality, records, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,65 +269,62 @@ def sql_over_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ structure
-def _nation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sheet for each region: title, blank row, header, then its nations."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+def _customer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers on 25 sheets: title, blank row, header, then a customer a row."""
     text = lambda c: C.text_cell(F.lit(c) if isinstance(c, str) else c)
-    rows = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(
-        F.col("r_name").alias("sheet"), F.col("r_regionkey").alias("sheet_ord"), (F.col("n_nationkey") + 3).cast("long").alias("row_idx"),
-        F.array(C.whole_cell(F.col("n_nationkey")), text(F.col("n_name")), C.whole_cell(F.col("n_regionkey"))).alias("cells"),
-    )
-    top = r.crossJoin(spark.range(3)).select(
-        F.col("r_name").alias("sheet"), F.col("r_regionkey").alias("sheet_ord"), F.col("id").alias("row_idx"),
-        F.when(F.col("id") == 0, F.array(text(F.col("r_name")), C.null_cell(), C.null_cell()))
-        .when(F.col("id") == 1, F.array(C.null_cell(), text("  "), C.null_cell()))
-        .otherwise(F.array(text("Nation Key"), text("Name"), text("Region Key"))).alias("cells"),
-    )
+    c = table(spark, sf_dir, "customer").select(F.expr("CAST(c_custkey % 25 AS INT)").alias("s"), F.expr("c_custkey DIV 25 + 3").alias("row_idx"), "c_custkey", "c_name", "c_nationkey")
+    sheet = lambda s: F.concat(F.lit("s"), s.cast("string")).alias("sheet")
+    rows = c.select(sheet(F.col("s")), F.col("s").alias("sheet_ord"), F.col("row_idx").cast("long"),
+        F.array(C.whole_cell(F.col("c_custkey")), text(F.col("c_name")), C.whole_cell(F.col("c_nationkey"))).alias("cells"))
+    top = spark.range(75).select(
+        sheet(F.expr("id DIV 3")), F.expr("CAST(id DIV 3 AS INT)").alias("sheet_ord"), F.expr("id % 3").alias("row_idx"),
+        F.when(F.expr("id % 3 = 0"), F.array(text("Customer export"), C.null_cell(), C.null_cell()))
+        .when(F.expr("id % 3 = 1"), F.array(C.null_cell(), text("  "), C.null_cell()))
+        .otherwise(F.array(text("Customer Key"), text("Name"), text("Nation Key"))).alias("cells"),
+    )
     return rows.unionByName(top)
 
 
-_NATIONS = """SELECT r_name AS sheet, n_nationkey + 3 AS row_idx, 1 AS texts, 3 AS filled,
-    CAST(len(list_distinct([CAST(n_nationkey AS VARCHAR), lower(n_name), CAST(n_regionkey AS VARCHAR)])) AS INT) AS uniq FROM nation JOIN region ON n_regionkey = r_regionkey
-    UNION ALL SELECT r_name, 0, 1, 1, 1 FROM region UNION ALL SELECT r_name, 1, 0, 0, 0 FROM region UNION ALL SELECT r_name, 2, 3, 3, 3 FROM region"""
+_SHEETS = "SELECT 's' || s AS sheet, s FROM range(25) t(s)"
+_CUSTOMERS = f"""SELECT 's' || (c_custkey % 25) AS sheet, c_custkey // 25 + 3 AS row_idx, 1 AS texts, 3 AS filled,
+    CAST(len(list_distinct([CAST(c_custkey AS VARCHAR), lower(c_name), CAST(c_nationkey AS VARCHAR)])) AS INT) AS uniq FROM customer
+    UNION ALL SELECT sheet, 0, 1, 1, 1 FROM ({_SHEETS}) UNION ALL SELECT sheet, 1, 0, 0, 0 FROM ({_SHEETS}) UNION ALL SELECT sheet, 2, 3, 3, 3 FROM ({_SHEETS})"""
 
 
 @query(f"""
-    WITH s AS (SELECT sheet, row_idx, texts / filled * .5 + uniq / filled * .3 + filled / 3 * .2 AS score FROM ({_NATIONS}) WHERE filled > 0 AND row_idx < 15)
+    WITH s AS (SELECT sheet, row_idx, texts / filled * .5 + uniq / filled * .3 + filled / 3 * .2 AS score FROM ({_CUSTOMERS}) WHERE filled > 0 AND row_idx < 15)
     SELECT sheet, CAST(arg_max(row_idx, score * 1000 - row_idx / 1000) AS BIGINT) AS header_row, max(score) >= .4 AS found, CAST(count(*) FILTER (score >= .55) AS BIGINT) AS candidates FROM s GROUP BY sheet""")
 def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.header_rows(_nation_grid(spark, sf_dir)).select("sheet", "header_row", "found", F.size("candidates").cast("long").alias("candidates"))
+    return structure.header_rows(_customer_grid(spark, sf_dir)).select("sheet", "header_row", "found", F.size("candidates").cast("long").alias("candidates"))
 
 
-@query(f"SELECT sheet, CAST(count(*) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_cols, sum(3 - filled) / (3 * count(*)) AS sparse_ratio FROM ({_NATIONS}) GROUP BY sheet")
+@query(f"SELECT sheet, CAST(count(*) AS BIGINT) AS n_rows, CAST(3 AS BIGINT) AS n_cols, sum(3 - filled) / (3 * count(*)) AS sparse_ratio FROM ({_CUSTOMERS}) GROUP BY sheet")
 def sheet_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.sheet_shapes(_nation_grid(spark, sf_dir)).select("sheet", "n_rows", "n_cols", "sparse_ratio")
+    return structure.sheet_shapes(_customer_grid(spark, sf_dir)).select("sheet", "n_rows", "n_cols", "sparse_ratio")
 
 
-@query(f"SELECT sheet, CAST(count(*) AS BIGINT) AS n FROM ({_NATIONS}) WHERE row_idx < 10 GROUP BY sheet")
+@query(f"SELECT sheet, CAST(count(*) AS BIGINT) AS n FROM ({_CUSTOMERS}) WHERE row_idx < 10 GROUP BY sheet")
 def row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.limit_rows(_nation_grid(spark, sf_dir), 10).groupBy("sheet").agg(F.count("*").alias("n"))
+    return structure.limit_rows(_customer_grid(spark, sf_dir), 10).groupBy("sheet").agg(F.count("*").alias("n"))
 
 
-@query("""
-    SELECT r_name AS sheet, CAST(0 AS BIGINT) AS row_idx, r_name AS c0, r_name AS c1, r_name AS c2 FROM region
-    UNION ALL SELECT r_name, 1, NULL, '  ', NULL FROM region UNION ALL SELECT r_name, 2, 'Nation Key', 'Name', 'Region Key' FROM region
-    UNION ALL SELECT r_name, n_nationkey + 3, CASE WHEN n_nationkey BETWEEN 3 AND 5 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3) THEN '3' ELSE CAST(n_nationkey AS VARCHAR) END, n_name, CAST(n_regionkey AS VARCHAR)
-    FROM nation JOIN region ON n_regionkey = r_regionkey""")
+@query(f"""
+    SELECT sheet, CAST(0 AS BIGINT) AS row_idx, 'Customer export' AS c0, 'Customer export' AS c1, 'Customer export' AS c2 FROM ({_SHEETS})
+    UNION ALL SELECT sheet, 1, NULL, '  ', NULL FROM ({_SHEETS}) UNION ALL SELECT sheet, 2, 'Customer Key', 'Name', 'Nation Key' FROM ({_SHEETS})
+    UNION ALL SELECT 's' || (c_custkey % 25), c_custkey // 25 + 3, CASE WHEN c_custkey // 25 BETWEEN 3 AND 5 THEN CAST(75 + c_custkey % 25 AS VARCHAR) ELSE CAST(c_custkey AS VARCHAR) END, c_name, CAST(c_nationkey AS VARCHAR) FROM customer""")
 def merged_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = _nation_grid(spark, sf_dir)
-    sheets = grid.select("sheet").distinct()
+    grid = _customer_grid(spark, sf_dir)
+    sheets = spark.range(25).selectExpr("concat('s', id) AS sheet")
     title = sheets.selectExpr("sheet", "0L AS r0", "0L AS c0", "0L AS r1", "2L AS c1")
-    block = grid.where("row_idx = 6").selectExpr("sheet", "6L AS r0", "0L AS c0", "8L AS r1", "0L AS c1")
+    block = sheets.selectExpr("sheet", "6L AS r0", "0L AS c0", "8L AS r1", "0L AS c1")
     got = structure.fill_merged(grid, title.unionByName(block))
     return got.select("sheet", "row_idx", *[F.get("cells", F.lit(i))["s"].alias(f"c{i}") for i in range(3)])
 
 
-@query("""
-    SELECT r_name AS sheet, r_regionkey % 2 = 0 AS has_formulas FROM region""")
+@query("SELECT 's' || (c_custkey % 25) AS sheet, bool_or(c_custkey % 50 = 7 AND c_custkey // 25 < 100) AS has_formulas FROM customer GROUP BY 1")
 def detect_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "region")
-    text = F.when(F.col("r_regionkey") % 2 == 0, F.lit("=SUM(A1:A3)")).otherwise(F.col("r_name"))
-    grid = r.select(F.col("r_name").alias("sheet"), F.lit(0).alias("sheet_ord"), F.lit(0).cast("long").alias("row_idx"), F.array(C.text_cell(text)).alias("cells"))
+    text = F.expr("CASE WHEN c_custkey % 50 = 7 THEN '=SUM(A1:A3)' ELSE c_name END")
+    grid = table(spark, sf_dir, "customer").select(F.expr("concat('s', c_custkey % 25)").alias("sheet"), F.lit(0).alias("sheet_ord"), F.expr("c_custkey DIV 25").cast("long").alias("row_idx"), F.array(C.text_cell(text)).alias("cells"))
     return structure.has_formulas(grid)
 
 
@@ -352,28 +351,78 @@ def header_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.unique_headers(h).select("sheet", "col_idx", "header")
 
 
-@query()
+_SYNONYMS = ", ".join(f"({i}, '{f}', '{re.sub('[^a-z0-9]+', ' ', x.lower()).strip()}')" for i, f, x in FieldRegistry().synonyms())
+_BITS = "CAST(pow(2, length(a)) AS HUGEINT) - 1"
+#: The longest common subsequence, as bits of one number, a letter of b at a time.
+_LCS = f"""l AS (SELECT a, b, 0 AS i, {_BITS} AS v FROM p
+    UNION ALL SELECT a, b, i + 1, ((v + u) | (v - u)) & ({_BITS}) FROM (SELECT *, v & coalesce(list_sum([CASE WHEN substr(a, CAST(j AS INT), 1) = substr(b, i + 1, 1) THEN CAST(pow(2, j - 1) AS HUGEINT) ELSE 0 END
+        FOR j IN range(1, length(a) + 1)]), 0) AS u FROM l WHERE i < length(b))),
+    ratios AS (SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (length(a) - bit_count(CAST(v AS HUGEINT))) / (length(a) + length(b)) END AS score FROM l WHERE i = length(b))"""
+
+
+def _mapped_sql(headers: str, select: str) -> str:
+    """``select`` over m: (sheet, col_idx, header, field, confidence, method) of the ``headers`` (sheet, col_idx, header)."""
+    return f"""WITH RECURSIVE h AS ({headers}), s(syn_ord, field, b) AS (VALUES {_SYNONYMS}),
+    names AS (SELECT DISTINCT header, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS a FROM h),
+    exact AS (SELECT header, arg_min(field, syn_ord) AS field FROM names JOIN s ON a = b GROUP BY 1),
+    rest AS (SELECT * FROM names WHERE header NOT IN (SELECT header FROM exact)),
+    p AS (SELECT DISTINCT a, b FROM rest, s), {_LCS},
+    scored AS (SELECT header, field, syn_ord, score FROM rest JOIN s ON true JOIN ratios USING (a, b)),
+    fuzzy AS (SELECT header, field, score FROM scored QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, syn_ord) = 1),
+    m AS (SELECT h.sheet, h.col_idx, h.header, coalesce(exact.field, CASE WHEN score >= .72 THEN fuzzy.field END) AS field,
+          CASE WHEN exact.field IS NOT NULL THEN 1.0 ELSE coalesce(score, 0.0) END AS confidence,
+          CASE WHEN exact.field IS NOT NULL THEN 'exact' WHEN score >= .72 THEN 'fuzzy' ELSE 'unmapped' END AS method
+          FROM h LEFT JOIN exact ON h.header = exact.header LEFT JOIN fuzzy ON h.header = fuzzy.header)
+    {select}"""
+
+
+_COLUMNS = " UNION ALL ".join(f"SELECT '{t}' AS sheet, CAST(row_number() OVER () - 1 AS INT) AS col_idx, column_name AS header FROM (DESCRIBE {t})" for t in TABLES)
+
+
+@query(_mapped_sql(_COLUMNS, "SELECT sheet, col_idx, header, field, round(confidence, 3) AS confidence, method FROM m"))
 def schema_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Column names of all tables to canonical fields.  No SQL: the similarity is a dynamic programme; unit tests hold it against plain Python."""
+    """Column names of all tables to canonical fields."""
     got = mapping.map_headers(_header_table(spark, sf_dir))
     return got.select("sheet", "col_idx", "header", "field", F.round("confidence", 3).alias("confidence"), "method")
 
 
-def _two_sheets(spark: SparkSession) -> DataFrame:
-    rows = [("c", 0, "Customer Name"), ("c", 1, "Total"), ("c", 2, "Amount Due"), ("c", 3, "Segment"), ("s", 0, "Client"), ("s", 1, "Price"), ("s", 2, "#")]
-    return mapping.unique_headers(spark.createDataFrame(rows, "sheet string, col_idx int, raw string"))
+@query(f"""WITH RECURSIVE t AS (SELECT p_partkey, lower(p_name) AS a, lower(p_brand || ' ' || p_name) AS b FROM part), p AS (SELECT DISTINCT a, b FROM t), {_LCS}
+    SELECT p_partkey, round(score, 9) AS ratio FROM t JOIN ratios USING (a, b)""")
+def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"))
+    return p.select("p_partkey", F.round(indel_ratio(F.lower("p_name"), F.lower(F.concat("p_brand", F.lit(" "), "p_name"))), 9).alias("ratio"))
 
 
-@query("""
-    SELECT * FROM (VALUES ('amount', 'Amount Due', 'Price'), ('full_name', 'Customer Name', 'Client'), ('id', NULL, '#')) t(field, c, s)""")
+#: A header a part: exact, misspelt and unknown ones, 24 to a sheet.
+_HEADER = """CASE p_partkey % 24 WHEN 0 THEN 'Customer Nmae' WHEN 1 THEN 'E-Mail Adress' WHEN 2 THEN 'Phone #' WHEN 3 THEN 'Totl Amount' WHEN 4 THEN 'Order Dte' WHEN 5 THEN 'Zip' WHEN 6 THEN 'Compny Name'
+    WHEN 7 THEN 'STATUS' WHEN 8 THEN 'Qty.' WHEN 9 THEN 'Remarks!!' WHEN 10 THEN 'ref number' WHEN 11 THEN 'Sales Region' WHEN 12 THEN p_brand WHEN 13 THEN 'Grand  Total' WHEN 14 THEN 'mobil no' WHEN 15 THEN 'Adress'
+    WHEN 16 THEN 'Clint' WHEN 17 THEN 'sku' WHEN 18 THEN 'Unit price' WHEN 19 THEN 'units sold' WHEN 20 THEN '%' WHEN 21 THEN 'Date of brith' WHEN 22 THEN 'Organisation' ELSE 'Weight (kg)' END"""
+_HEADERS = f"SELECT 'p' || (p_partkey // 24) AS sheet, CAST(p_partkey % 24 AS INT) AS col_idx, {_HEADER} AS header FROM part"
+
+
+def _part_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "part").select(F.expr("concat('p', p_partkey DIV 24)").alias("sheet"), F.expr("CAST(p_partkey % 24 AS INT)").alias("col_idx"), F.expr(_HEADER).alias("raw"))
+    return mapping.map_headers(mapping.unique_headers(raw))
+
+
+@query(_mapped_sql(_HEADERS, "SELECT sheet, col_idx, header, field, round(confidence, 9) AS confidence, method FROM m"))
+def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_headers(spark, sf_dir).select("sheet", "col_idx", "header", "field", F.round("confidence", 9).alias("confidence"), "method")
+
+
+@query(_mapped_sql(_HEADERS, "SELECT field, sheet, arg_max(header, col_idx) AS header FROM m WHERE field IS NOT NULL GROUP BY 1, 2"))
 def column_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = mapping.align_columns(mapping.map_headers(_two_sheets(spark)))
-    return got.select("field", F.col("sheets")["c"].alias("c"), F.col("sheets")["s"].alias("s"))
+    return mapping.align_columns(_part_headers(spark, sf_dir)).select("field", F.explode("sheets").alias("sheet", "header"))
 
 
-@query("SELECT * FROM (VALUES ('c', 'amount', CAST(1.0 AS DOUBLE)), ('c', 'full_name', 1.0), ('s', 'amount', 1.0), ('s', 'full_name', 1.0), ('s', 'id', 1.0)) t(sheet, field, confidence)")
+@query(_mapped_sql(_HEADERS, "SELECT sheet, field, round(arg_max(confidence, col_idx), 9) AS confidence FROM m WHERE field IS NOT NULL GROUP BY 1, 2"))
 def field_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapping.field_confidence(mapping.map_headers(_two_sheets(spark)))
+    return mapping.field_confidence(_part_headers(spark, sf_dir)).select("sheet", "field", F.round("confidence", 9).alias("confidence"))
+
+
+def _one_sheet(spark: SparkSession) -> DataFrame:
+    rows = [("c", 0, "Customer Name"), ("c", 1, "Total"), ("c", 2, "Amount Due"), ("c", 3, "Segment")]
+    return mapping.unique_headers(spark.createDataFrame(rows, "sheet string, col_idx int, raw string"))
 
 
 def _customer_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -386,7 +435,7 @@ def _customer_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
         text(F.col("c_mktsegment")),
     )
     grid = c.select(F.lit("c").alias("sheet"), F.lit(0).alias("sheet_ord"), (F.col("c_custkey") + 1).alias("row_idx"), cells.alias("cells"))
-    heads = mapping.pin(mapping.map_headers(_two_sheets(spark).where("sheet = 'c'")))
+    heads = mapping.pin(mapping.map_headers(_one_sheet(spark)))
     profiles = spark.range(1).selectExpr("'c' AS sheet", "0L AS header_row")
     return cleaning.clean_rows(grid, profiles, heads)
 
@@ -409,6 +458,46 @@ def records_extra_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.to_records(_customer_cleaned(spark, sf_dir)).select("source_row", F.to_json("extra").alias("extra_fields"))
 
 
+_CONTACTS = f"""SELECT c_custkey + 2 AS source_row, CAST(c_custkey AS VARCHAR) AS id, CASE WHEN s <> 'n/a' THEN lower(trim(s)) END AS email, CASE WHEN c_custkey % 3 <> 0 THEN regexp_replace(p, '[^0-9+]', '', 'g') END AS phone,
+    CASE WHEN c_custkey % 3 <> 0 THEN p END AS said, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM (SELECT *, {_EMAIL} AS s, {_PHONE.replace("STRING", "VARCHAR")} AS p FROM customer)"""
+_NOTED = f"""SELECT *, CASE WHEN NOT regexp_matches(email, '^[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}$') THEN 'does not match a valid email pattern: ''' || email || '''' END AS bad_email,
+    CASE WHEN length(replace(phone, '+', '')) < 7 THEN 'too few digits to be a valid phone number: ''' || said || '''' WHEN length(replace(phone, '+', '')) > 15 THEN 'too many digits to be a valid phone number: ''' || said || '''' END AS bad_phone FROM ({_CONTACTS})"""
+
+
+def _contacts_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers under the headers Customer ID, E-mail, Phone and a blank one; every third row ends after two cells."""
+    text = C.text_cell
+    cells = F.array(text(F.col("c_custkey").cast("string")), text(F.expr(_EMAIL)), text(F.expr(_PHONE)), text(F.col("c_mktsegment")))
+    cells = F.when(F.col("c_custkey") % 3 == 0, F.slice(cells, 1, 2)).otherwise(cells)
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"))
+    rows = c.select(F.lit("contacts").alias("sheet"), F.lit(0).alias("sheet_ord"), (F.col("c_custkey") + 1).cast("long").alias("row_idx"), cells.alias("cells"))
+    head = spark.range(1).select(F.lit("contacts").alias("sheet"), F.lit(0).alias("sheet_ord"), F.col("id").alias("row_idx"), F.array(*[text(F.lit(h)) for h in ("Customer ID", "E-mail", "Phone", " ")]).alias("cells"))
+    profiles = spark.range(1).selectExpr("'contacts' AS sheet", "0L AS header_row")
+    grid = rows.unionByName(head)
+    mapped = mapping.pin(mapping.map_headers(mapping.headers_of(grid.where("row_idx = 0"), profiles)))
+    return cleaning.clean_rows(grid, profiles, mapped)
+
+
+@query(f"SELECT source_row, id, email, phone, segment AS column_4, concat_ws('; ', 'E-mail: ' || bad_email, 'Phone: ' || bad_phone) AS noted FROM ({_NOTED})")
+def contact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = records.to_records(_contacts_cleaned(spark, sf_dir))
+    return got.select("source_row", "id", "email", "phone", F.col("extra")["column_4"].alias("column_4"), F.array_join("issues", "; ").alias("noted"))
+
+
+@query(f"""WITH n AS ({_NOTED}), w(value_type, header) AS (VALUES ('email', 'E-mail'), ('phone', 'Phone')),
+    bad AS (SELECT source_row AS row, 'email' AS value_type, bad_email AS message FROM n WHERE bad_email IS NOT NULL UNION ALL SELECT source_row, 'phone', bad_phone FROM n WHERE bad_phone IS NOT NULL)
+    SELECT row, 'cell_note' AS code, header AS "column", message FROM bad JOIN w USING (value_type)
+    UNION ALL SELECT row, 'failed_validation', header, 'Value present but failed validation for field type ''' || value_type || '''.' FROM bad JOIN w USING (value_type)""")
+def contact_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.row_issues(_contacts_cleaned(spark, sf_dir)).select("row", "code", "column", "message")
+
+
+@query(f"SELECT CAST(count(bad_email) + count(bad_phone) AS BIGINT) AS n FROM ({_NOTED})")
+def suspicious_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = _contacts_cleaned(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return quality.suspicious_values(cleaned, records.to_records(cleaned)).select("n")
+
+
 # ------------------------------------------------------------------ duplicates
 @query("""
     SELECT first_row, event_id AS row FROM (SELECT event_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS first_row FROM events) WHERE event_id <> first_row""")
@@ -432,18 +521,19 @@ def _entry(field: str, value: Column) -> Column:
 
 
 def _slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sheets of orders: a and its copy b, c with a part of them, d with other fields."""
+    """Sheets of orders: a and its copy b, c with a part of them, d with other fields, e with all that are on none of these."""
     o = table(spark, sf_dir, "orders")
     values = F.array(_entry("id", F.col("o_orderkey")), _entry("status", F.col("o_orderstatus")), _entry("notes", F.lit(" ")))
     parts = [
         o.where(cond).select(F.lit(s).alias("sheet"), F.lit(i).alias("sheet_ord"), F.col("o_orderkey").alias("source_row"), v.alias("values"))
-        for i, (s, cond, v) in enumerate([("a", "o_orderkey % 3 = 0", values), ("b", "o_orderkey % 3 = 0", values), ("c", "o_orderkey % 6 = 0 OR o_orderkey % 6 = 1", values), ("d", "o_orderkey % 10 = 0", F.array(_entry("company", F.col("o_custkey"))))])
+        for i, (s, cond, v) in enumerate([("a", "o_orderkey % 3 = 0", values), ("b", "o_orderkey % 3 = 0", values), ("c", "o_orderkey % 6 = 0 OR o_orderkey % 6 = 1", values), ("d", "o_orderkey % 10 = 0", F.array(_entry("company", F.col("o_custkey")))), ("e", "o_orderkey % 6 IN (2, 4, 5) AND o_orderkey % 10 <> 0", values)])
     ]
     return records.union_by_name(parts).withColumn("row_hash", overlap.row_hash(F.col("values")))
 
 
 _SLICES = """WITH t AS (SELECT 'a' AS s, o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'b', o_orderkey FROM orders WHERE o_orderkey % 3 = 0
-        UNION ALL SELECT 'c', o_orderkey FROM orders WHERE o_orderkey % 6 IN (0, 1) UNION ALL SELECT 'd', -1 - o_custkey FROM orders WHERE o_orderkey % 10 = 0),
+        UNION ALL SELECT 'c', o_orderkey FROM orders WHERE o_orderkey % 6 IN (0, 1) UNION ALL SELECT 'd', -1 - o_custkey FROM orders WHERE o_orderkey % 10 = 0
+        UNION ALL SELECT 'e', o_orderkey FROM orders WHERE o_orderkey % 6 IN (2, 4, 5) AND o_orderkey % 10 <> 0),
     n AS (SELECT s, count(*) AS n FROM t GROUP BY 1),
     p AS (SELECT x.s AS a, y.s AS b, x.n AS len_a, y.n AS len_b FROM n x JOIN n y ON x.s < y.s),
     h AS (SELECT x.s AS a, y.s AS b, count(DISTINCT x.k) AS shared FROM t x JOIN t y ON x.k = y.k AND x.s < y.s GROUP BY 1, 2)"""
@@ -455,16 +545,16 @@ def row_hash_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.shared_rows(rows, overlap.sheet_pairs(rows)).select("a", "b", "len_a", "len_b", "shared")
 
 
-@query(f"""{_SLICES} SELECT p.a, p.b, CASE WHEN p.b = 'd' THEN 'UNIQUE' WHEN len_a = len_b AND len_a = shared THEN 'IDENTICAL' WHEN shared > 0 THEN 'PARTIAL_OVERLAP' ELSE 'UNIQUE' END AS class,
-    CASE WHEN p.b = 'd' OR coalesce(shared, 0) = 0 THEN 0.0 WHEN len_a = len_b AND len_a = shared THEN 100.0 ELSE round(CAST(shared AS DOUBLE) / least(len_a, len_b) * 100, 1) END AS overlap_pct
+@query(f"""{_SLICES} SELECT p.a, p.b, CASE WHEN 'd' IN (p.a, p.b) THEN 'UNIQUE' WHEN len_a = len_b AND len_a = shared THEN 'IDENTICAL' WHEN shared > 0 THEN 'PARTIAL_OVERLAP' ELSE 'UNIQUE' END AS class,
+    CASE WHEN 'd' IN (p.a, p.b) OR coalesce(shared, 0) = 0 THEN 0.0 WHEN len_a = len_b AND len_a = shared THEN 100.0 ELSE round(CAST(shared AS DOUBLE) / least(len_a, len_b) * 100, 1) END AS overlap_pct
     FROM p LEFT JOIN h ON p.a = h.a AND p.b = h.b""")
 def overlap_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _slices(spark, sf_dir)
-    fields = spark.createDataFrame([("a", ["id", "status"]), ("b", ["id", "status"]), ("c", ["id", "status"]), ("d", ["company"])], "sheet string, fields array<string>")
+    fields = spark.createDataFrame([("a", ["id", "status"]), ("b", ["id", "status"]), ("c", ["id", "status"]), ("d", ["company"]), ("e", ["id", "status"])], "sheet string, fields array<string>")
     return overlap.classify(overlap.shared_rows(rows, overlap.sheet_pairs(rows)), fields).select("a", "b", "class", "overlap_pct")
 
 
-@query("SELECT 'a' AS sheet, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'c', count(*) FROM orders WHERE o_orderkey % 6 IN (0, 1) UNION ALL SELECT 'd', count(*) FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT 'a' AS sheet, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'c', count(*) FROM orders WHERE o_orderkey % 6 IN (0, 1) UNION ALL SELECT 'd', count(*) FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'e', count(*) FROM orders WHERE o_orderkey % 6 IN (2, 4, 5) AND o_orderkey % 10 <> 0")
 def drop_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _slices(spark, sf_dir)
     kinds = overlap.classify(overlap.shared_rows(rows, overlap.sheet_pairs(rows)), spark.createDataFrame([("d", ["company"])], "sheet string, fields array<string>"))
@@ -511,6 +601,23 @@ def sheet_diff_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.common_rows(*_versions(spark, sf_dir)).drop("a", "b")
 
 
+@query("""
+    WITH x AS (SELECT lower(o_orderstatus) || '/' || o_orderdate || '/' || (o_orderkey // 4) AS k, count(*) AS n FROM orders WHERE o_orderkey % 4 < 3 GROUP BY 1),
+    y AS (SELECT lower(o_orderstatus) || '/' || o_orderdate || '/' || (o_orderkey // 4) AS k, count(*) AS n FROM orders WHERE o_orderkey % 4 > 0 GROUP BY 1)
+    SELECT 'u1' AS a, 'u2' AS b, CAST(coalesce(sum(x.n) FILTER (y.n IS NOT NULL), 0) AS BIGINT) AS common, CAST(coalesce(sum(x.n) FILTER (y.n IS NULL), 0) AS BIGINT) AS only_a, CAST(coalesce(sum(y.n) FILTER (x.n IS NULL), 0) AS BIGINT) AS only_b
+    FROM x FULL JOIN y ON x.k = y.k""")
+def sheet_diff_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets without a key field: rows meet by the hash of all their values."""
+    o = table(spark, sf_dir, "orders")
+    place = F.expr("concat(o_orderdate, '/', o_orderkey DIV 4)")
+    parts = [
+        o.where(cond).select(F.lit(sheet).alias("sheet"), F.lit(i).alias("sheet_ord"), F.col("o_orderkey").alias("source_row"), F.array(_entry("status", status), _entry("date", place), _entry("notes", F.lit(" "))).alias("values"))
+        for i, (sheet, cond, status) in enumerate([("u1", "o_orderkey % 4 < 3", F.col("o_orderstatus")), ("u2", "o_orderkey % 4 > 0", F.concat(F.lit(" "), F.lower("o_orderstatus")))])
+    ]
+    rows = records.union_by_name(parts).withColumn("row_hash", overlap.row_hash(F.col("values")))
+    return overlap.sheet_diffs(rows, overlap.sheet_pairs(rows))[0].select("a", "b", "common", "only_a", "only_b")
+
+
 @query("""
     SELECT c_name AS full_name, c_acctbal AS amount, c_mktsegment AS status, 'customer' AS source_sheet FROM customer
     UNION ALL SELECT s_name, s_acctbal, NULL, 'supplier' FROM supplier""")
