@@ -220,6 +220,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
+#: Bytes that are scanned at once: what is made on the way is many times as large.
+SCAN = 1_000_000
+
+
+def _after_word(word: np.ndarray, buf: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that is no word's, or the end."""
+    while at < len(buf):
+        inside = word[buf[at : at + 4096]]
+        if not inside.all():
+            return at + int(inside.argmin())
+        at += len(inside)
+    return len(buf)
+
+
 def scan_words(texts: list[bytes], by_space: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Words of all ``texts`` in one pass: (starts, ends, 64-bit hashes, word offset of each text, buffer).
 
@@ -230,18 +244,24 @@ def scan_words(texts: list[bytes], by_space: bool = False) -> tuple[np.ndarray,
     raw = b"\n".join(texts) + b"\n"
     buf = np.frombuffer(raw, np.uint8)
     word, value = _byte_tables(by_space)
-    is_word = word[buf]
-    edge = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[0::2], edge[1::2]
+    found = []
+    lo = 0
+    while lo < len(buf):
+        hi = _after_word(word, buf, min(len(buf), lo + SCAN))
+        part = buf[lo:hi]
+        edge = np.flatnonzero(np.diff(word[part].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        starts, ends = edge[0::2], edge[1::2]
+        if len(starts):
+            pw, inv = powers(len(part))
+            found.append((starts + lo, ends + lo, mix64(np.add.reduceat(value[part] * pw, starts) * inv[starts])))
+        lo = hi
+    if found:
+        starts, ends, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    else:
+        starts, ends, h = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     lens = np.fromiter((len(x) for x in texts), np.int64, len(texts))
     text_start = np.concatenate([[0], np.cumsum(lens + 1)])
-    offsets = np.searchsorted(starts, text_start)
-    if len(starts):
-        pw, inv = powers(len(buf))
-        h = mix64(np.add.reduceat(value[buf] * pw, starts) * inv[starts])
-    else:
-        h = np.empty(0, np.uint64)
-    return starts, ends, h, offsets, raw
+    return starts, ends, h, np.searchsorted(starts, text_start), raw
 
 
 def as_signed(x: np.ndarray) -> np.ndarray:

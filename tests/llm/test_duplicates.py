@@ -9,13 +9,27 @@ import numpy as np
 import pytest
 from corpus import words
 
-from gridwright.llm import components, decontam, near_duplicates, passages
+from gridwright.llm import common, components, decontam, near_duplicates, passages
 
 
 def own_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+@pytest.mark.parametrize("by_space", [False, True])
+def test_words_are_scanned_in_parts_without_a_seam(monkeypatch, by_space):
+    rng = random.Random(31)
+    texts = [words(rng, n).replace("a", rng.choice(["a", "\u00e9", " \t", "A."])).encode() for n in (0, 1, 40, 300, 3)] + [b"", b"x" * 5000, b" \n ", b"yz " * 700]
+    whole = common.scan_words(texts, by_space)
+    monkeypatch.setattr(common, "SCAN", 50)
+    cut = common.scan_words(texts, by_space)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:4], cut[:4], strict=True))
+    found = [whole[4][a:b] for a, b in zip(whole[0], whole[1], strict=True)]
+    assert found == [w for t in texts for w in (re.findall(rb"[^ \t\n\v\f\r]+", t) if by_space else [x.encode() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.decode())])]
+    fold = (lambda w: w) if by_space else bytes.lower
+    assert len(set(whole[2].tolist())) == len({fold(w) for w in found})
+
+
 # ------------------------------------------------------------------ near duplicates
 def shingle_set(text):
     w = own_words(text)
