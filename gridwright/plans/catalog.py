@@ -6,18 +6,29 @@ expressions that both engines can write, and put them through the operators.
 
 from __future__ import annotations
 
+import atexit
+import csv
+import json
 import re
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwright.config import Settings
 from gridwright.functions import cells as C
 from gridwright.functions import clean
 from gridwright.functions.fields import US_DATES, FieldRegistry
 from gridwright.functions.similarity import indel_ratio
 from gridwright.operators import cleaning, mapping, overlap, profiling, quality, records, structure
+from gridwright.plans import pipeline, report, sinks
+from gridwright.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -627,6 +638,119 @@ def union_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.union_by_name([c, s])
 
 
+# ------------------------------------------------------------------ files in and out
+_FILE = """SELECT c_custkey AS id, c_name AS full_name, CASE c_custkey % 4 WHEN 0 THEN 'c' || c_custkey || '@example.com' WHEN 1 THEN 'no address' WHEN 2 THEN 'N/A' END AS email,
+    CASE WHEN c_custkey % 5 = 0 THEN '(' || c_custkey || ')' ELSE '$' || c_custkey || '.5' END AS amount, c_mktsegment || ', "' || c_nationkey || '"' AS Segment FROM customer"""
+_FILE_RECORDS = f"""SELECT 'csv_data' AS sheet, row_number() OVER (ORDER BY id) + 1 AS source_row, CAST(id AS VARCHAR) AS id, full_name, CASE WHEN email <> 'N/A' THEN email END AS email,
+    CASE WHEN id % 5 = 0 THEN -id ELSE id + .5 END AS amount, Segment AS segment FROM ({_FILE})"""
+
+
+def _local_folder() -> str:
+    """A folder of this process: what is written there is written and read by the driver alone."""
+    found = tempfile.mkdtemp(prefix="gridwright-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
+    return found
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and the executors see."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + _local_folder()
+    return f"{base.rstrip('/')}/gridwright-file-{uuid.uuid4().hex}"
+
+
+def _file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("gw_customer")
+    return spark.sql(_FILE.replace("FROM customer", "FROM gw_customer"))
+
+
+def _customer_file(spark: SparkSession, sf_dir: str) -> str:
+    """One delimited file of all customers; such files are bounded by ``max_file_size_mb``."""
+    path = _shared_folder(spark)
+    _file_rows(spark, sf_dir).repartition(1).sortWithinPartitions("id").write.options(header=True, escape='"', quote='"').csv(path)
+    return path
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> pipeline.Extraction:
+    return pipeline.extract(spark, _customer_file(spark, sf_dir), Settings(max_rows_per_sheet=0))
+
+
+@query(_FILE_RECORDS)
+def file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited file through detection, reading, mapping and cleaning."""
+    return _extracted(spark, sf_dir).records.select("sheet", "source_row", "id", "full_name", "email", "amount", F.col("extra")["Segment"].alias("segment"))
+
+
+@query(f"""WITH r AS ({_FILE_RECORDS}), f(sink) AS (VALUES ('csv'), ('json'), ('sqlite'), ('table'), ('csv_folder'), ('json_lines'))
+    SELECT sink, source_row, id, full_name, email, amount, segment FROM r, f""")
+def file_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same records, read back from every kind of output."""
+    x = _extracted(spark, sf_dir)
+    local, folder = _local_folder(), _shared_folder(spark)
+    sinks_dir = x.write(local)
+    x.append_sqlite(f"{local}/records.db")
+    x.append_table(f"{folder}/table")
+    x.write_folders(folder)
+    ddl = "sink string, source_row bigint, id string, full_name string, email string, amount double, segment string"
+    with open(sinks_dir / "cleaned_data.csv", newline="", encoding="utf-8") as f:
+        rows = [("csv", int(r["_source_row"]), r["id"], r["full_name"], r["email"] or None, float(r["amount"]), r["Segment"]) for r in csv.DictReader(f)]
+    data = json.loads((sinks_dir / "extracted_data.json").read_text(encoding="utf-8"))["records"]
+    rows += [("json", r["_source_row"], r["id"], r["full_name"], r["email"], r["amount"], r["Segment"]) for r in data]
+    with sqlite3.connect(f"{local}/records.db") as db:
+        rows += [("sqlite", *r[:5], json.loads(r[5])["Segment"]) for r in db.execute("SELECT source_row, id, full_name, email, amount, extra_fields FROM records")]
+    out = spark.createDataFrame(rows, ddl)
+    at_rest = spark.read.parquet(f"{folder}/table").select(F.lit("table").alias("sink"), "source_row", "id", "full_name", "email", "amount", F.get_json_object("extra_fields", "$.Segment").alias("segment"))
+    flat = spark.read.options(header=True, escape='"').csv(f"{folder}/csv").select(F.lit("csv_folder").alias("sink"), F.col("_source_row").cast("long").alias("source_row"), "id", "full_name", "email", F.col("amount").cast("double").alias("amount"), F.col("Segment").alias("segment"))
+    lines = spark.read.json(f"{folder}/json").select(F.lit("json_lines").alias("sink"), F.col("_source_row").alias("source_row"), "id", "full_name", "email", "amount", F.col("Segment").alias("segment"))
+    return records.union_by_name([out, at_rest, flat, lines])
+
+
+_FILE_ISSUES = f"""SELECT '[WARNING] csv_data:row ' || source_row || ':col ''email'' -- ' || m AS line FROM ({_FILE_RECORDS}), (VALUES ('does not match a valid email pattern: ' || chr(39) || 'no address' || chr(39)), ('Value present but failed validation for field type ''email''.')) t(m) WHERE email = 'no address'
+    UNION ALL SELECT '[WARNING] csv_data:row ' || source_row || ':col ''amount'' -- Suspicious negative amount: ' || CAST(CAST(amount AS DOUBLE) AS VARCHAR) FROM ({_FILE_RECORDS}) WHERE amount < 0
+    UNION ALL SELECT '[WARNING] csv_data:row ' || source_row || ':col ''amount'' -- currency symbols/commas stripped' FROM ({_FILE_RECORDS}) WHERE CAST(id AS BIGINT) % 5 <> 0"""
+
+
+@query(_FILE_ISSUES)
+def file_issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Path(_local_folder()) / "issues.txt"
+    sinks.write_issue_log(_extracted(spark, sf_dir).issues, path)
+    return spark.createDataFrame([(x,) for x in path.read_text(encoding="utf-8").splitlines()], "line string")
+
+
+@query("""SELECT * FROM (VALUES (0, 'id', 'id', 1.0::DOUBLE, 'exact'), (1, 'full_name', 'full_name', 1.0, 'exact'), (2, 'email', 'email', 1.0, 'exact'), (3, 'amount', 'amount', 1.0, 'exact'), (4, 'Segment', NULL, 0.5, 'unmapped')) t(nth, header, field, confidence, method)
+    WHERE (SELECT count(*) FROM customer) > 0""")
+def file_schema_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Path(_local_folder()) / "schema_map.json"
+    sinks.write_schema_map(_extracted(spark, sf_dir).mapped, path)
+    found = json.loads(path.read_text(encoding="utf-8"))["csv_data"]
+    rows = [(i, h, m["canonical_field"], m["confidence"] if m["canonical_field"] else 0.5, m["method"]) for i, (h, m) in enumerate(found.items())]
+    return spark.createDataFrame(rows, "nth int, header string, field string, confidence double, method string")
+
+
+@query(f"""WITH r AS ({_FILE_RECORDS}), i AS ({_FILE_ISSUES}), n AS (SELECT count(*) AS n FROM r),
+    q AS (SELECT greatest(0.0, round(100.0 - (count(*) FILTER (email IS NULL) * 100.0 / count(*) * .5 + 2 * count(*) FILTER (email = 'no address') * 100.0 / count(*) * .5), 1)) AS email,
+          greatest(0.0, round(100.0 - count(*) * 100.0 / count(*) * .5, 1)) AS amount FROM r)
+    SELECT CAST((SELECT n FROM n) AS BIGINT) AS records, CAST(0 AS BIGINT) AS errors, CAST((SELECT count(*) FROM i) AS BIGINT) AS warnings, round((300.0 + email + amount) / 5, 1) AS overall_quality FROM q""")
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers that stand in the readable report."""
+    text = report.render(_extracted(spark, sf_dir).report_facts())
+    of = lambda pattern: float(re.search(pattern, text)[1])
+    row = (int(of(r"Total records extracted:\*\* (\d+)")), int(of(r"Errors: (\d+)")), int(of(r"Warnings: (\d+)")), of(r"Overall quality:\*\* ([\d.]+)%"))
+    return spark.createDataFrame([row], "records bigint, errors bigint, warnings bigint, overall_quality double")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS BIGINT) AS row_idx, CAST(l_orderkey AS VARCHAR) AS a, l_returnflag || ',\"' AS b, CASE WHEN l_partkey % 9 = 0 THEN CAST(l_partkey AS VARCHAR) END AS c FROM lineitem")
+def scan_large_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delimited text of any size: a title line, quoted delimiters, rows of two and three cells."""
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    line = F.concat(F.col("l_orderkey"), F.lit(',"'), F.col("l_returnflag"), F.lit(',"""'), F.when(F.col("l_partkey") % 9 == 0, F.concat(F.lit(","), "l_partkey")).otherwise(F.lit("")))
+    rows = table(spark, sf_dir, "lineitem").select(*order, line.alias("value"))
+    title = spark.range(1).select(F.lit("Line items").alias("value"))
+    path = _shared_folder(spark)
+    title.unionByName(rows, allowMissingColumns=True).repartition(1).sortWithinPartitions(*order).select("value").write.text(path)  # the title has no keys, so it is first
+    got = files.read_large_delimited(spark, path).where("cells[1].s IS NOT NULL")
+    return got.select("row_idx", *[F.col("cells")[i]["s"].alias(c) for i, c in enumerate("abc")])
+
+
 # ------------------------------------------------------------------ profiles
 def _lineitem_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four columns of lineitem in long form; ord is any total order: the key columns and quantity."""
