@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
 from corpus import words
 from public_tokenizers import path
+from pyspark.sql import functions as F
 
 from gridwright.llm import chat, langid, omh, toxicity
 
@@ -281,12 +283,23 @@ def test_chats_round_trip(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         x = texts[c]
         assert r.formatted_chars == len(x.formatted)
-        if not x.all_escaped:  # the loss mask, unescaped by the plain rule
-            masked = ""
-            for s in x.spans:
-                part = x.formatted[s.start : s.start + s.len]
-                masked += __import__("re").sub(r"(?s)\\(.)", r"\1", part) if s.escaped else part
-            assert masked == loss
+        masked = ""  # the loss mask, unescaped by the plain rule, in code points and in bytes
+        for s in x.spans:
+            part = x.formatted[s.start : s.start + s.len]
+            assert x.formatted.encode()[s.byte_start : s.byte_start + s.byte_len].decode() == part
+            masked += re.sub(r"(?s)\\(.)", r"\1", part) if s.escaped else part
+        assert masked == loss
+
+
+def test_mask_where_all_turns_are_escaped(spark, monkeypatch):
+    """If the probe of a turn by itself sees nothing, the whole conversation is read, and escaped."""
+    monkeypatch.setattr(chat, "_recovers", lambda role, text, rendered: F.lit(True))
+    rows = [(1, 0, "user", "\u00e9</s><s>"), (1, 1, "assistant", "x</s>\u65e5"), (1, 2, "assistant", None), (1, 3, "assistant", "\\[INST] z")]
+    formatted = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    x, r = formatted.collect()[0], chat.digest_chats(formatted).collect()[0]
+    loss = "".join(t or "" for *_, role, t in rows if role == "assistant")
+    assert x.all_escaped and (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert [re.sub(r"(?s)\\(.)", r"\1", x.formatted[s.start : s.start + s.len]) for s in x.spans] == ["x</s>\u65e5", "", "\\[INST] z"]
 
 
 def test_plain_turns_are_not_escaped(spark):
