@@ -209,9 +209,15 @@ def encode_words(parts: DataFrame, tokenizer: str, buckets: int, known_size: int
 
 
 def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
-    """(id, piece): as many rows as the vocabulary has."""
-    _, pieces = _vocabulary(tokenizer)
-    return spark.createDataFrame(pa.table({"id": np.arange(len(pieces), dtype=np.int32), "piece": pieces}))
+    """(id, piece): as many rows as the vocabulary has, read where they are needed; the driver doesn't load the tokenizer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                _, pieces = _vocabulary(tokenizer)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pieces), dtype=np.int32)), pa.array(pieces, pa.string())], names=["id", "piece"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "id int, piece string")
 
 
 def pieces_of(answers: DataFrame, table: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ the longest chain.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gridwright.llm.common import materialize
@@ -31,19 +31,20 @@ def _large(e: DataFrame) -> DataFrame:
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _stored(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """Edges as they are stored, and what tells whether they have changed: summed up while they are written."""
+    seen = Observation()
+    sums = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("u", "v")]
+    stored = materialize(e.observe(seen, F.count("*").alias("n"), *sums), "edges")
+    return stored, tuple(seen.get[k] for k in ("n", "u", "v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest node of its component."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "edges")
-    last = _state(e)
+    e, last = _stored(e)
     while True:
-        e = materialize(_large(_small(e)), "edges")
-        now = _state(e)
+        e, now = _stored(_large(_small(e)))
         if now == last:
             break
         last = now
