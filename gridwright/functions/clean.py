@@ -16,7 +16,7 @@ from gridwright.functions.cells import WHITE, float_text, is_placeholder, let, s
 from gridwright.functions.fields import INTERNATIONAL_DATES, US_DATES
 
 _MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
-#: What a number, an address and a symbol look like.
+#: What a number, an address and a symbol look like (and the notes on cells below).
 FLOAT = r"^[+-]?(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?$"
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 SYMBOLS = "[$€£₹,]"

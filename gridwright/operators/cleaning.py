@@ -17,11 +17,11 @@ from gridwright.functions.fields import FieldRegistry
 REPEATED = 0.8
 BLANK, HEADER, MALFORMED = "blank_or_separator_row", "repeated_header_row", "empty_or_malformed"
 ISSUE = "struct<severity: string, code: string, column: string, message: string>"
-#: What is said of a dropped row.
+#: What is said of a dropped row.
 MESSAGES = {
-    BLANK: "Row dropped: every cell was blank or a placeholder null (separator row).",
-    HEADER: "Dropped a row that duplicates the header (likely a concatenated section break).",
-    MALFORMED: "Row dropped: every cell was empty or an unparseable placeholder after cleaning.",
+    BLANK: "Left out: no cell of the row holds a value.",
+    HEADER: "Left out: the row says the headers again.",
+    MALFORMED: "Left out: nothing usable is left of the row once its cells are cleaned.",
 }
 
 

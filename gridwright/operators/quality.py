@@ -20,7 +20,7 @@ def row_issues(cleaned: DataFrame) -> DataFrame:
 
 def collision_issues(cleaned: DataFrame) -> DataFrame:
     found = collisions(cleaned)
-    message = F.concat(F.lit("Column collision: both map to '"), "key", F.lit("'; kept the first non-empty value, discarded value from '"), "header", F.lit("'."))
+    message = F.concat(F.lit("Two columns hold '"), "key", F.lit("'; an earlier one has a value, so that of '"), "header", F.lit("' is left out."))
     return found.select(
         "sheet", "sheet_ord", F.lit("warning").alias("severity"), F.lit("collision").alias("code"),
         F.col("source_row").alias("row"), F.col("header").alias("column"), message.alias("message"), F.lit(3).alias("stage"), F.lit(0).alias("nth"),

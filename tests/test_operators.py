@@ -1,5 +1,6 @@
 """Structure, mapping, filters, duplicates, overlap and profiles on small grids."""
 
+import json
 import random
 
 import pytest
@@ -225,3 +226,29 @@ def test_profile(spark):
 def test_top_values_break_ties_by_first_occurrence(spark):
     long = spark.createDataFrame([("f", i, v) for i, v in enumerate("dcbaefgag")], "field string, ord int, value string")
     assert [t.value for t in profiling.top_values(long).first().top_values] == ["a", "g", "d", "c", "b"]
+
+
+def test_local_model():
+    import http.server
+    import threading
+
+    from gridwright.sources.suggest import local_model
+
+    seen = []
+
+    class Model(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"response": " Amount. " if "Cash" in seen[-1]["prompt"] else "anything else"}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Model)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = local_model("m", f"http://127.0.0.1:{server.server_port}")
+    assert ask("Cash", ["amount", "id"]) == "amount" and ask("Weight", ["amount", "id"]) is None
+    assert seen[0]["options"] == {"temperature": 0} and seen[0]["model"] == "m"
+    server.shutdown()
