@@ -728,7 +728,7 @@ def file_schema_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH r AS ({_FILE_RECORDS}), i AS ({_FILE_ISSUES}), n AS (SELECT count(*) AS n FROM r),
     q AS (SELECT greatest(0.0, round(100.0 - (count(*) FILTER (email IS NULL) * 100.0 / count(*) * .5 + 2 * count(*) FILTER (email = 'no address') * 100.0 / count(*) * .5), 1)) AS email,
-          greatest(0.0, round(100.0 - count(*) * 100.0 / count(*) * .5, 1)) AS amount FROM r)
+          greatest(0.0, round(100.0 - count(*) FILTER (CAST(id AS BIGINT) <> 0) * 100.0 / count(*) * .5, 1)) AS amount FROM r)
     SELECT CAST((SELECT n FROM n) AS BIGINT) AS records, CAST(0 AS BIGINT) AS errors, CAST((SELECT count(*) FROM i) AS BIGINT) AS warnings, round((300.0 + email + amount) / 5, 1) AS overall_quality FROM q""")
 def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that stand in the readable report."""
