@@ -122,6 +122,20 @@ def test_intersections():
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
 
 
+def test_links_near_the_threshold(spark):
+    """Pairs of texts whose last words differ: an index of (n - k) / (n + k) for n shingles. All at 0.8 or more are found, none below."""
+    rng = random.Random(44)
+    rows, want = [], {}
+    for n, k in ((90, 10), (105, 11), (111, 9), (190, 10), (94, 11), (100, 15)):
+        for _ in range(40):
+            head = [f"h{rng.randrange(10**9)}" for _ in range(n + 4 - k)]
+            for _ in range(2):
+                want[len(rows)] = int(5 * (n - k) >= 4 * (n + k))
+                rows.append((len(rows), " ".join(head + [f"t{rng.randrange(10**9)}" for _ in range(k)])))
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+
+
 def test_pairs_in_a_class_need_no_band_in_common(monkeypatch):
     rng = random.Random(12)
     text = words(rng, 200)
@@ -318,9 +332,9 @@ def brute_hits(text, items, window=13):
 def contaminated_rows():
     rng = random.Random(9)
     items = [(i, words(rng, 40)) for i in range(6)] + [(6, None), (7, ""), (8, "short item of five"), (9, "word"), (10, " ... "), (None, words(rng, 20))]
-    items += [(11, items[0][1].upper()), (12, "a a a a a a a a a a a a a a a a")]
+    items += [(11, items[0][1].upper()), (12, "a a a a a a a a a a a a a a a a"), (0, words(rng, 25))]
     texts = [words(rng, 30) + " " + " ".join(items[k % 6][1].split()[5 : 5 + n]) + " " + words(rng, m) for k, (n, m) in enumerate([(12, 5), (13, 5), (20, 900), (35, 3), (13, 200), (14, 0)])]
-    texts += [items[0][1], "a " * 40, "word", "it is a Short, item. of FIVE words", None, "", items[1][1] + " " + items[2][1], items[11][1]]
+    texts += [items[0][1], "a " * 40, "word", "it is a Short, item. of FIVE words", None, "", items[1][1] + " " + items[2][1], items[11][1], items[-1][1] + " and " + items[0][1]]
     return items, texts
 
 

@@ -246,6 +246,17 @@ def test_edited_texts(spark, docs, no_docs, parts):
     assert omh.compare_edited(no_docs, parts).count() == 0
 
 
+def test_ids_that_all_tie(spark):
+    rows = [(7, f"text {i} " * (i + 1)) for i in range(20)]
+    got = omh.compare_edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    texts = sorted(t for _, t in rows)
+    want = []
+    for text, after in zip(texts, texts[1:] + texts[:1], strict=True):
+        half = len(text) // 2
+        want.append(hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest())
+    assert sorted(r.edited_sha256 for r in got) == sorted(want)
+
+
 def test_one_document_follows_itself(spark):
     r = omh.compare_edited(spark.createDataFrame([(4, "abcdefghij klmnop")], "doc_id long, text string"), 3).collect()
     assert len(r) == 1 and r[0].near_next == 1.0 and r[0].edited_sha256 == hashlib.sha256(b"abcdefghij klmnop"[:9] + b"abcdefgh").hexdigest()

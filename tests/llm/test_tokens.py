@@ -138,3 +138,14 @@ def test_no_files(spark, no_docs, tmp_path):
     tokenizer, folder = path("byte_bpe_50k.json"), f"file://{tmp_path}/none"
     binary_ids.write(binary_ids.encode(no_docs, tokenizer, 2, 3), folder, binary_ids.kind_of(tokenizer))
     assert binary_ids.read(spark, folder).count() == 0
+
+
+def test_ids_of_documents_that_all_tie(spark, byte_bpe, tmp_path):
+    rows = [(7, f"text {i}" * i) for i in range(12)] + [(7, "text 3" * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    binary_ids.write(binary_ids.encode(df, path("byte_bpe_50k.json"), end_id=2, parts=4), f"{tmp_path}/ids", "<u2")
+    got = sorted(binary_ids.read(spark, f"{tmp_path}/ids").collect(), key=lambda r: r.start)
+    each = sorted(np.array(byte_bpe.encode(t, add_special_tokens=False).ids + [2], "<u2").tobytes() for _, t in rows)
+    assert [r.n_tokens for r in got] == [len(x) // 2 for x in each]
+    assert [r.start for r in got] == [sum(len(x) // 2 for x in each[:k]) for k in range(len(each))]
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in each]
